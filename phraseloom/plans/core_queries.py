@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phraseloom.plans import nested_queries
+from phraseloom.plans import lexicon_queries, nested_queries, text_queries
+
+_MODULES = (nested_queries, text_queries, lexicon_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**nested_queries.QUERIES}
+    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**nested_queries.SQL}
+    return {name: sql for m in _MODULES for name, sql in m.SQL.items()}
