@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Widths below the longest length in which a limit's texts pile up: a limit in
-#: characters may cut at a word's end, one in bytes at a character's end.
-CHARS_ZONE, BYTES_ZONE = 16, 5
+from phraseloom.plans.lineage import cut_lineage
+
+#: Zones below the longest length of a source in which a limit's texts pile up,
+#: as lengths below the maximum: a limit in characters cuts there (or one short,
+#: where a blank was trimmed) or at the end of the last whole word; a limit in
+#: bytes cuts at the end of a character.
+ZONES = {"exact": ("chars", 1), "wide": ("chars", 16), "bytes": ("bytes", 5)}
 
 _BLANK = "(?U)[\\s\\u00A0\\u200B\\uFEFF]"
 
@@ -38,7 +42,7 @@ def ending_columns(text: Column) -> dict[str, Column]:
 
 
 def measured(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(id, source, chars, bytes, and what the end says) for every row; narrow, so texts are not shuffled."""
+    """(id, source, chars, bytes, tail, and what the end says) for every row; narrow, so texts are not shuffled."""
     filled = F.coalesce(~F.col(text_col).rlike("^" + _BLANK + "*$"), F.lit(False))
     marks = ending_columns(F.col(text_col))
     return docs.select(
@@ -47,30 +51,45 @@ def measured(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Da
         filled.alias("_filled"),
         F.length(text_col).alias("_chars"),
         F.octet_length(text_col).alias("_bytes"),
+        F.right(F.regexp_replace(text_col, _BLANK + "+$", ""), F.lit(3)).alias("_tail"),
         *[m.alias("_" + name) for name, m in marks.items()],
     )
 
 
-def spikes(rows: DataFrame, length: str, zone: int, least: int = 3, times: float = 3.0) -> DataFrame:
-    """(_source, low, high) of each source whose length histogram has a spike at its maximum.
+def spikes(rows: DataFrame, least: int = 3, times: float = 3.0, below: int = 12) -> DataFrame:
+    """(_source, and the lowest length of each zone of ``ZONES`` that is a spike, else null).
 
-    The histogram is built by partial aggregation and holds one row per source
-    and length.  A spike is a zone below the longest length that holds at least
-    ``least`` texts and ``times`` as many as the equally wide zones below it do
-    on average.
+    The length histograms (characters and bytes) of all sources come from one
+    aggregation with partial sums and hold a row per source and length.  A zone
+    at the maximum is a spike if it holds at least ``least`` texts and
+    ``times`` as many as the ``below`` equally wide zones under it do on
+    average.
     """
-    histogram = rows.where("_filled").groupBy("_source", length).agg(F.count("*").alias("n"))
-    top = histogram.groupBy(F.col("_source").alias("_top_source")).agg(F.max(length).alias("high"))
-    below = 12
-    near = histogram.join(top, F.col("_source").eqNullSafe(F.col("_top_source"))).select(
-        "_source", "high", "n", ((F.col("high") - F.col(length)) / F.lit(zone + 1)).cast("int").alias("step")
-    )
-    sums = near.groupBy("_source", "high").agg(
-        F.sum(F.when(F.col("step") == 0, F.col("n")).otherwise(0)).alias("at_top"),
-        F.sum(F.when(F.col("step").between(1, below), F.col("n")).otherwise(0)).alias("near_top"),
-    )
-    found = sums.where((F.col("at_top") >= least) & (F.col("at_top") >= F.lit(times / below) * F.col("near_top")))
-    return found.select("_source", (F.col("high") - zone).alias("low"), "high")
+    lengths = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(f"_{m}").alias("length")) for m in ("chars", "bytes")])
+    histogram = rows.where("_filled").select("_source", F.explode(lengths).alias("_l")).groupBy("_source", "_l.measure", "_l.length").agg(F.count("*").alias("n"))
+    top = histogram.withColumn("high", F.max("length").over(Window.partitionBy("_source", "measure")))
+    under = F.col("high") - F.col("length")
+    sums = []
+    for name, (measure, zone) in ZONES.items():
+        own = F.col("measure") == measure
+        sums.append(F.sum(F.when(own & (under <= zone), F.col("n")).otherwise(0)).alias(f"{name}_top"))
+        sums.append(F.sum(F.when(own & under.between(zone + 1, zone + below * (zone + 1)), F.col("n")).otherwise(0)).alias(f"{name}_under"))
+        sums.append((F.max(F.when(own, F.col("high"))) - zone).alias(f"{name}_low"))
+    found = top.groupBy("_source").agg(*sums)
+    is_spike = lambda name: (F.col(f"{name}_top") >= least) & (F.col(f"{name}_top") >= F.lit(times / below) * F.col(f"{name}_under"))
+    return found.select("_source", *[F.when(is_spike(name), F.col(f"{name}_low")).alias(f"_zone_{name}") for name in ZONES])
+
+
+def markers(at_limit: DataFrame, least: int = 5, share: float = 0.5) -> DataFrame:
+    """(_source, _marker_tail): last characters that at least ``share`` of a source's texts at its limit end in: a mark of omission."""
+    counts = at_limit.groupBy("_source", "_tail").agg(F.count("*").alias("n"))
+    best = counts.groupBy("_source").agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("_tail", "n").alias("_marker_tail"))
+    return best.where((F.col("most") >= least) & (F.col("most") >= F.lit(share) * F.col("all"))).select("_source", "_marker_tail")
+
+
+def _with_source(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """Join facts of sources (one row each); a null source is a source."""
+    return rows.join(facts.withColumnRenamed("_source", "_fact_source"), F.col("_source").eqNullSafe(F.col("_fact_source")), "left").drop("_fact_source")
 
 
 def truncated(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -79,27 +98,30 @@ def truncated(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> D
     ``cut`` is ``limit`` for a text whose length (in characters or bytes) lies
     in a spike at its source's maximum and that ends in no sentence mark or
     closing of its kind, or in a mark of omission; ``transfer`` for any other
-    text that ends within a word, a sentence or an open tag; else null.  Null,
-    empty and blank texts are never cut (``filled`` is false).  A null source is
-    a source of its own; one text alone is no spike.
-
-    Texts are reduced to lengths and marks in the scan.  What is shuffled is
-    the histogram; its spikes, one row per source, join back with a broadcast
-    or, where there are too many sources, a sort-merge join that adaptive
-    execution splits.
+    text that ends within a word, a sentence or an open tag; else null.  Marks
+    of omission are the usual ones and, for each source, the one that most of
+    its texts at the limit end in.  Null, empty and blank texts are never cut
+    (``filled`` is false).  A null source is a source of its own; one text
+    alone is no spike.
+
+    Texts are reduced to lengths and marks in the one scan, whose narrow rows
+    are checkpointed; what is shuffled then is the histogram.  Its spikes, one
+    row per source, join back with a broadcast or, where there are too many
+    sources, a sort-merge join that adaptive execution splits.
     """
-    rows = measured(docs, id_col, text_col, source_col)
-    joined = rows
-    for name, length, zone in (("c", "_chars", CHARS_ZONE), ("b", "_bytes", BYTES_ZONE)):
-        limits = spikes(rows, length, zone).select(F.col("_source").alias(f"_{name}_source"), F.col("low").alias(f"_{name}_low"))
-        joined = joined.join(limits, F.col("_source").eqNullSafe(F.col(f"_{name}_source")), "left")
-    in_spike = F.coalesce(F.col("_chars") >= F.col("_c_low"), F.lit(False)) | F.coalesce(F.col("_bytes") >= F.col("_b_low"), F.lit(False))
+    rows = cut_lineage(measured(docs, id_col, text_col, source_col))
+    rows = _with_source(rows, spikes(rows))
+    at = lambda name, measure: F.coalesce(F.col(f"_{measure}") >= F.col(f"_zone_{name}"), F.lit(False))
+    at_limit, in_wide = at("exact", "chars") | at("bytes", "bytes"), at("wide", "chars")
+    rows = _with_source(rows, markers(rows.where(F.col("_filled") & (at_limit | in_wide))))
+    omitted = F.col("_marker") | F.coalesce(F.col("_tail") == F.col("_marker_tail"), F.lit(False))
     cut = (
         F.when(~F.col("_filled"), F.lit(None))
-        .when(in_spike & (F.col("_marker") | F.col("_dots") | ~F.col("_closed")), "limit")
-        .when(F.col("_marker") | ~(F.col("_closed") | F.col("_dots")), "transfer")
+        .when(at_limit & (omitted | F.col("_dots") | ~F.col("_closed")), "limit")
+        .when(in_wide & (omitted | ~(F.col("_closed") | F.col("_dots"))), "limit")
+        .when(omitted | ~(F.col("_closed") | F.col("_dots")), "transfer")
     )
-    return joined.select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), F.col("_filled").alias("filled"), cut.alias("cut"))
+    return rows.select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), F.col("_filled").alias("filled"), cut.alias("cut"))
 
 
 def by_source(found: DataFrame, source_col: str) -> DataFrame:
