@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Ranges of characters without width.
@@ -108,13 +108,18 @@ def canonical(text: str) -> str:
     return _segments().sub(lambda m: whole_form(m.group()), text)
 
 
+def unstable(text: Column) -> Column:
+    """Whether a text has an unstable character.  ASCII text, told by its length in bytes, is never searched."""
+    return (F.octet_length(text) > F.length(text)) & text.rlike(java_class())
+
+
 def with_form(rows: DataFrame, text_col: str, form_col: str = "form") -> DataFrame:
     """Add the consistent form of ``text_col``; null stays null, the empty string stays empty.
 
     Rows without any unstable character are told apart inside the JVM and
     never reach Python: their form is the text itself.
     """
-    odd = F.col(text_col).rlike(java_class())
+    odd = unstable(F.col(text_col))
     stable = rows.where(F.coalesce(~odd, F.lit(True))).withColumn(form_col, F.col(text_col))
     return stable.unionByName(unstable_rows(rows, text_col, form_col))
 
@@ -129,7 +134,7 @@ def unstable_rows(rows: DataFrame, text_col: str, form_col: str = "form") -> Dat
             forms = pa.array([canonical(t) for t in batch.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, forms], names=[*batch.schema.names, form_col])
 
-    return rows.where(F.col(text_col).rlike(java_class())).mapInArrow(run, schema)
+    return rows.where(unstable(F.col(text_col))).mapInArrow(run, schema)
 
 
 def look_alike_pairs(rows: DataFrame, key: str, text_col: str) -> DataFrame:
@@ -145,7 +150,7 @@ def look_alike_pairs(rows: DataFrame, key: str, text_col: str) -> DataFrame:
     base = rows.select(F.col(key).alias("key"), F.col(text_col).alias("text"))
     odd = unstable_rows(base, "text").where(~F.col("form").rlike("^\\s*$"))
     forms = odd.select("form").distinct()
-    plain = base.where(F.col("text").isNotNull() & ~F.col("text").rlike(java_class()))
+    plain = base.where(F.col("text").isNotNull() & ~unstable(F.col("text")))
     plain = plain.join(forms, F.col("text") == F.col("form"), "left_semi").withColumn("form", F.col("text"))
     together = odd.unionByName(plain)
     texts = together.select("form", "text").distinct()
