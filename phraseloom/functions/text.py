@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,14 +20,22 @@ def _alternation(words) -> str:
     return "|".join(sorted(words, key=lambda w: (-len(w), w)))
 
 
+_LONGEST = max(map(len, C.ABBREVIATIONS))
+
 #: One alternative per kind of token; the first that matches at a place wins.
+#: The first four are shortcuts for plain words and marks: what they take, the
+#: last two would, as no other alternative can begin there.
 TOKEN_PATTERN = "|".join(
     (
+        r"[A-Za-z0-9]++(?=[ \t\n\r;!?\"()\[\]{}<>]|\z)",
+        r"[A-Za-z]++(?=,)",
+        rf"[A-Za-z]{{{_LONGEST + 1},}}+(?=\.[ \n])",
+        r"[,;:!?\"()\[\]{}<>]",
         rf"https?://[^{C.BLANK}]+",
         r"www\.[A-Za-z0-9][A-Za-z0-9.\-]*",
-        r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+",
+        r"[A-Za-z0-9._%+\-]++@[A-Za-z0-9.\-]+",
         r"(?:[A-Za-z]\.){2,}",
-        rf"(?iu:{_alternation(C.ABBREVIATIONS)})\.",
+        rf"(?=\p{{L}}{{2,{_LONGEST}}}\.)(?iu:{_alternation(C.ABBREVIATIONS)})\.",
         r"[A-Z]\.",
         r"\p{Nd}+(?:[.,:/]\p{Nd}+)+",
         r"\p{Nd}+(?:-\p{Nd}+){2,}",
@@ -44,25 +53,33 @@ TOKEN_PATTERN = "|".join(
 _TAIL = r"(?:n['’]t|['’](?:ll|re|ve|s|m|d))"
 
 
+def _apostrophe(t: Column) -> Column:
+    return F.contains(t, F.lit("'")) | F.contains(t, F.lit("’"))
+
+
 def split_contraction(token: Column) -> Column:
     """A token without and with its clitics (``didn't`` -> did, n't; ``cannot`` -> can, not); case is kept."""
 
     def words(stem: Column) -> Column:
-        return F.when(F.lower(stem) == "cannot", F.array(F.substring(stem, 1, 3), F.substring(stem, 4, 3))).otherwise(F.array(stem))
+        cannot = (F.length(stem) == 6) & (F.lower(stem) == "cannot")
+        return F.when(cannot, F.array(F.substring(stem, 1, 3), F.substring(stem, 4, 3))).otherwise(F.array(stem))
 
     stem = F.regexp_extract(token, rf"(?ius)^(.+?)({_TAIL}*)$", 1)
     with_tail = let(stem, lambda s: F.concat(words(s), F.regexp_extract_all(F.substr(token, F.length(s) + 1), F.lit(f"(?iu){_TAIL}"), 0)))
-    return F.when(token.rlike("['’]"), with_tail).otherwise(words(token))
+    return F.when(_apostrophe(token), with_tail).otherwise(words(token))
 
 
 def tokenize(text: Column) -> Column:
     """Word list of a text; null stays null, a blank text has no words.  Letters outside ASCII are words of their own."""
-    return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), 0), split_contraction))
+    tokens = F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), 0)
+    # a text without apostrophe and without "cannot" has nothing to split
+    nothing = ~_apostrophe(text) & ~F.contains(F.lower(text), F.lit("cannot"))
+    return F.when(nothing, tokens).otherwise(F.flatten(F.transform(tokens, split_contraction)))
 
 
 def _lookup(table: dict[str, str], word: Column) -> Column:
     """The value for ``word`` or null.  The set test is hashed, so words outside the table cost one probe."""
-    entries = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    entries = F.str_to_map(F.lit(",".join(f"{k}:{v}" for k, v in table.items())), F.lit(","), F.lit(":"))  # folded to a constant
     return F.when(word.isin(*table), F.element_at(entries, word))
 
 
@@ -72,29 +89,29 @@ def lemma(word: Column, is_verb: Column | bool = False) -> Column:
     ``is_verb`` opens the forms that are irregular for verbs only.  Null stays
     null; a word of punctuation has the empty string.
     """
-    strip = F.btrim(F.lower(word), F.lit(C.STRIP_CHARS))
-    # a possessive ending; outer apostrophes are gone already
-    bare = F.regexp_replace(strip, "['’]s$", "")
+    ends = lambda t, *ss: reduce(lambda a, b: a | b, [F.endswith(t, F.lit(s)) for s in ss])
     verb = F.lit(is_verb) if isinstance(is_verb, bool) else is_verb
 
+    def without_possessive(t: Column) -> Column:  # outer apostrophes are gone already
+        return F.when(ends(t, "'s", "’s"), F.left(t, F.length(t) - 2)).otherwise(t)
+
     def rules(t: Column) -> Column:
         n = F.length(t)
         cut = lambda k: F.left(t, n - k)
-        ends = lambda s: F.endswith(t, F.lit(s))
         return (
             F.when(verb & t.isin(*C.IRREGULAR_VERBS), _lookup(C.IRREGULAR_VERBS, t))
             .when(t.isin(*C.IRREGULAR), _lookup(C.IRREGULAR, t))
-            .when((n <= 3) | ~t.rlike(r"^\p{IsAlphabetic}+$"), t)
-            .when(ends("ies") & (n > 4), F.concat(cut(F.lit(3)), F.lit("y")))
-            .when(t.rlike("(ss|sh|ch|x|z|s)es$"), cut(F.lit(2)))
-            .when(ends("ing") & (n > 5), cut(F.lit(3)))
-            .when(ends("ied") & (n > 4), F.concat(cut(F.lit(3)), F.lit("y")))
-            .when(ends("ed") & (n > 4), cut(F.lit(2)))
-            .when(ends("s") & ~ends("ss"), cut(F.lit(1)))
+            .when((n <= 3) | ~ends(t, "s", "ing", "ed") | ~t.rlike(r"^\p{IsAlphabetic}+$"), t)
+            .when(ends(t, "ies") & (n > 4), F.concat(cut(3), F.lit("y")))
+            .when(ends(t, "ses", "shes", "ches", "xes", "zes"), cut(2))
+            .when(ends(t, "ing") & (n > 5), cut(3))
+            .when(ends(t, "ied") & (n > 4), F.concat(cut(3), F.lit("y")))
+            .when(ends(t, "ed") & (n > 4), cut(2))
+            .when(ends(t, "s") & ~ends(t, "ss"), cut(1))
             .otherwise(t)
         )
 
-    return let(bare, rules)
+    return let(F.btrim(F.lower(word), F.lit(C.STRIP_CHARS)), lambda t: let(without_possessive(t), rules))
 
 
 def lemmatize(words: Column, is_verb: Column | None = None) -> Column:
