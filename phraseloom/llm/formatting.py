@@ -283,6 +283,8 @@ def _exact_key(value, unordered: Sequence[str], key: str | None = None) -> str:
         if key is not None and any(same_text(key, u) for u in unordered):
             members.sort()
         return "[" + ",".join(members) + "]"
+    if isinstance(value, float) and value.is_integer():
+        value = int(value)
     return '"' + squeeze(value) if isinstance(value, str) else repr(value)
 
 

@@ -119,6 +119,7 @@ def with_form(rows: DataFrame, text_col: str, form_col: str = "form") -> DataFra
     Rows without any unstable character are told apart inside the JVM and
     never reach Python: their form is the text itself.
     """
+    rows = rows.drop(form_col)
     odd = unstable(F.col(text_col))
     stable = rows.where(F.coalesce(~odd, F.lit(True))).withColumn(form_col, F.col(text_col))
     return stable.unionByName(unstable_rows(rows, text_col, form_col))
@@ -126,6 +127,7 @@ def with_form(rows: DataFrame, text_col: str, form_col: str = "form") -> DataFra
 
 def unstable_rows(rows: DataFrame, text_col: str, form_col: str = "form") -> DataFrame:
     """Only the rows with an unstable character, with their form."""
+    rows = rows.drop(form_col)
     at = rows.columns.index(text_col)
     schema = rows.select("*", F.col(text_col).alias(form_col)).schema
 

@@ -40,12 +40,12 @@ def vote_long(
     time: str,
     half_life_hours: float,
 ) -> DataFrame:
-    """Unpivot: one row (group, row_id, in_field, norm, size, trust, age) for each usable value."""
+    """Unpivot: one row (group, row_id, in_field, _norm, _size, _trust, _lives) for each usable value."""
     parts = [
         F.struct(
             F.lit(name).alias("in_field"),
-            _text_of(F.col(name), kind.startswith("array")).alias("norm"),
-            F.length(F.array_join(F.col(name), " ") if kind.startswith("array") else F.col(name)).alias("size"),
+            _text_of(F.col(name), kind.startswith("array")).alias("_norm"),
+            F.length(F.array_join(F.col(name), " ") if kind.startswith("array") else F.col(name)).alias("_size"),
         )
         for name, kind in fields.items()
     ]
@@ -54,7 +54,7 @@ def vote_long(
     return (
         rows.select(*group, row_id, F.coalesce(F.col(trust), F.lit(0)).cast("double").alias("_trust"), seconds.alias("_seconds"), F.explode(F.array(*parts)).alias("_f"))
         .select(*group, row_id, "_trust", "_seconds", "_f.*")
-        .where(F.col("norm").isNotNull())
+        .where(F.col("_norm").isNotNull())
         .withColumn("_lives", F.col("_seconds") / F.lit(3600.0 * half_life_hours))
     )
 
@@ -88,7 +88,7 @@ def winners(
     0, a null time is the oldest; a group or field without any value is not in
     the result.  Repeated rows only add votes.
     """
-    keys = [*group, "in_field", "norm"]
+    keys = [*group, "in_field", "_norm"]
     long = vote_long(rows, group, row_id, fields, trust, time, half_life_hours)
     band = F.floor(F.col("_lives") / F.lit(_BAND))
     by_band = (
@@ -96,8 +96,8 @@ def winners(
         .groupBy(*keys, "_band")
         .agg(
             F.sum((1 + F.col("_trust")) * F.pow(F.lit(2.0), F.col("_lives") - F.col("_band") * _BAND)).alias("_sum"),
-            F.max_by(F.col(row_id), F.struct("_seconds", "_trust", "size", -F.col(row_id))).alias("_row"),
-            F.max(F.struct("_seconds", "_trust", "size", -F.col(row_id))).alias("_rank"),
+            F.max_by(F.col(row_id), F.struct("_seconds", "_trust", "_size", -F.col(row_id))).alias("_row"),
+            F.max(F.struct("_seconds", "_trust", "_size", -F.col(row_id))).alias("_rank"),
         )
     )
     by_value = by_band.groupBy(*keys).agg(
