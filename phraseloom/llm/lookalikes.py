@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from phraseloom.plans.lineage import cut_lineage
+
 #: Ranges of characters without width.
 NO_WIDTH = ((0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x180B, 0x180E), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x2064), (0x2066, 0x206F), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF))
 
@@ -154,7 +156,7 @@ def look_alike_pairs(rows: DataFrame, key: str, text_col: str) -> DataFrame:
     forms = odd.select("form").distinct()
     plain = base.where(F.col("text").isNotNull() & ~unstable(F.col("text")))
     plain = plain.join(forms, F.col("text") == F.col("form"), "left_semi").withColumn("form", F.col("text"))
-    together = odd.unionByName(plain)
+    together = cut_lineage(odd.unionByName(plain))  # few rows: the unstable texts and the stable ones of their forms
     texts = together.select("form", "text").distinct()
     pairs = (
         texts.select("form", F.col("text").alias("text_a"))
