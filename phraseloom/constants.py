@@ -88,3 +88,28 @@ ROOT_SUBWORD, UNKNOWN_SUBWORD, MAX_SUBWORDS = 1, 3, 20
 BATCH_SIZE = 50
 RETRY_SECONDS = (2, 4, 8, 16)
 RETRYABLE = ("429", "503", "500")
+
+# Morphological categories and their values.
+FEATS = {
+    "Number": "Sing Plur Ptan",
+    "Person": "1 2 3",
+    "Tense": "Past Pres",
+    "VerbForm": "Fin Inf Part Ger",
+    "Mood": "Ind Imp Sub",
+    "Voice": "Pass",
+    "Degree": "Pos Cmp Sup",
+    "Case": "Nom Acc Gen",
+    "Gender": "Masc Fem Neut Fem,Masc",
+    "PronType": "Art Dem Prs Int Rel Ind Neg Tot Rcp Emp",
+    "Definite": "Def Ind",
+    "NumType": "Card Ord Mult Frac",
+    "NumForm": "Word Digit Roman Combi",
+    "Polarity": "Pos Neg",
+    "Poss": "Yes",
+    "Reflex": "Yes",
+    "Abbr": "Yes",
+    "Foreign": "Yes",
+    "Typo": "Yes",
+    "Style": "Arch Coll Expr Slng Vrnc",
+    "ExtPos": "ADP ADV CCONJ NOUN PRON PROPN SCONJ",
+}

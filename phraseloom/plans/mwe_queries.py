@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phraseloom.functions import pattern
+from phraseloom.functions import feats, pattern
 from phraseloom.operators import lexicon, mwe
 from phraseloom.plans import sqltext as S
 from phraseloom.sources.tables import table
@@ -82,7 +82,22 @@ def tag_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("upos", F.substring_index("p", "=", 1).alias("category"), F.substring_index("p", "=", -1).alias("value")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (candidates, match_entries, arc_gate, surfaces, detect_mwes, overlap_resolution, sentence_stats, tag_profile)}
+def feats_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens by what is wrong with their FEATS, if anything."""
+    rows = table(spark, sf_dir, "parsed_tokens").select(feats.problem(F.col("feats")).alias("problem"), "upos")
+    return rows.groupBy("problem", "upos").agg(F.count("*").alias("n"))
+
+
+def result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The delivered results as JSON lines, nulls written."""
+    rows = table(spark, sf_dir, "sentence_results").select("sent_id", "tokens", "mwes").dropDuplicates(["sent_id"])
+    return rows.select("sent_id", F.to_json(F.struct("tokens", "mwes"), {"ignoreNullFields": "false"}).alias("result"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (candidates, match_entries, arc_gate, surfaces, detect_mwes, overlap_resolution, sentence_stats, tag_profile, feats_problems, result_lines)
+}
 
 _CELLS = "id, coalesce(word, '') AS word, coalesce(lemma, '') AS lemma, coalesce(head, 0) AS head, coalesce(rel, '') AS rel, coalesce(upos, '') AS upos, coalesce(feats, '') AS feats"
 _IRR = f"""
@@ -137,6 +152,10 @@ SQL = {
     "sentence_stats": f"{_WITH}, {_KEPT} SELECT sent_id, len(s.words)::int AS words, count(kept.id)::int AS mwes FROM s LEFT JOIN kept USING (sent_id) GROUP BY sent_id, s.words",
     "overlap_resolution": f"""WITH g AS (SELECT DISTINCT sent_id, id AS entry_idx, token_ids AS path FROM mwe_matches WHERE len(token_ids) > 0 AND id IS NOT NULL)
 SELECT sent_id, entry_idx AS id, {_NUMBERS('path')} AS token_ids FROM g WHERE NOT EXISTS (SELECT 1 FROM g o WHERE {_BEATS})""",
+    "feats_problems": f"""SELECT problem, upos, count(*) AS n FROM (SELECT upos, CASE WHEN feats IS NULL THEN 'missing'
+  WHEN NOT regexp_full_match(feats, '_|[A-Za-z]+=[^|=]+([|][A-Za-z]+=[^|=]+)*') THEN 'grammar'
+  WHEN p <> list_sort(list_distinct(p)) THEN 'order' WHEN feats <> '_' AND len(list_filter(string_split(feats, '|'), lambda x: x NOT IN {S.qs(f'{c}={v}' for c, vs in C.FEATS.items() for v in vs.split())})) > 0 THEN 'unknown' END AS problem
+  FROM (SELECT upos, feats, list_transform(list_filter(string_split(feats, '|'), lambda x: x <> '_'), lambda x: split_part(x, '=', 1)) AS p FROM parsed_tokens)) GROUP BY ALL""",
     "tag_profile": """SELECT upos, split_part(p, '=', 1) AS category, split_part(p, '=', -1) AS value, count(*) AS n
 FROM (SELECT upos, unnest(string_split(feats, '|')) AS p FROM parsed_tokens WHERE feats IS NOT NULL AND feats <> '_') GROUP BY ALL""",
 }

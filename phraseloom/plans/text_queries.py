@@ -32,6 +32,12 @@ def tokenize_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", "line_no", F.array_join(text.tokenize(F.col("line")), "␟").alias("tokens"))
 
 
+def token_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line's tokens as a JSON array."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\r?\n")).alias("line_no", "line"))
+    return lines.select("doc_id", "line_no", F.to_json(text.tokenize(F.col("line"))).alias("tokens"))
+
+
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "documents").select(F.explode(text.tokenize(F.col("text"))).alias("token"))
     return words.groupBy("token").agg(F.count("*").alias("n"))
@@ -98,7 +104,7 @@ def sentence_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        tokenize_docs, tokenize_lines, token_counts, contractions, lemma_vocab, lemma_verb_gate, lemma_agreement, slot_tokens, phrase_elements, element_plan,
+        tokenize_docs, tokenize_lines, token_json, token_counts, contractions, lemma_vocab, lemma_verb_gate, lemma_agreement, slot_tokens, phrase_elements, element_plan,
         lemma_equality, sentence_trim,
     )
 }
@@ -119,6 +125,8 @@ SQL = {
     "tokenize_lines": f"""SELECT doc_id, line_no, CASE WHEN len(t) = 0 THEN '' ELSE array_to_string(t, {_US}) END AS tokens
 FROM (SELECT doc_id, line_no, {S.tokenize('line')} AS t FROM (SELECT doc_id, (generate_subscripts(l, 1) - 1)::int AS line_no, unnest(l) AS line
 FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS l FROM documents WHERE text IS NOT NULL)))""",
+    "token_json": f"""SELECT doc_id, line_no, to_json({S.tokenize('line')})::varchar AS tokens FROM (SELECT doc_id, (generate_subscripts(l, 1) - 1)::int AS line_no, unnest(l) AS line
+FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS l FROM documents WHERE text IS NOT NULL))""",
     "token_counts": f"SELECT token, count(*) AS n FROM (SELECT unnest({S.tokenize('text')}) AS token FROM documents) GROUP BY token",
     "contractions": f"SELECT sentence, CASE WHEN len(t) = 0 THEN '' ELSE array_to_string(t, {_US}) END AS tokens FROM (SELECT sentence, {S.tokenize('sentence')} AS t FROM {_values(SAMPLES, 'sentence')})",
     "lemma_vocab": f"SELECT word, CASE WHEN word IS NOT NULL THEN {S.lemma('word')} END AS lemma FROM (SELECT DISTINCT word FROM parsed_tokens)",
