@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from phraseloom.plans.lineage import cut_lineage
+
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so they have inverses modulo 2**64
 _M = (1 << 64) - 1
 _TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s{}\[\],:"]+', re.S)
@@ -67,14 +69,18 @@ class PieceHasher:
             self.prefix.append(np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64))))
             self.inverse.append(_powers(pow(base, -1, 1 << 64), size))
 
-    def pieces(self, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
-        """One pair of hashes for each piece; pieces that keep the same units have the same pair."""
-        n = self.rank[ends] - self.rank[starts]
-        both = []
-        for prefix, inverse in zip(self.prefix, self.inverse):
-            h = (prefix[ends] - prefix[starts]) * inverse[self.rank[starts]] + n.astype(np.uint64)
-            both.append(h.tolist())
-        return list(zip(*both))
+    def pieces(self, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        """Two arrays of hashes, one entry for each piece; pieces that keep the same units have the same hashes."""
+        n = (self.rank[ends] - self.rank[starts]).astype(np.uint64)
+        return [(prefix[ends] - prefix[starts]) * inverse[self.rank[starts]] + n for prefix, inverse in zip(self.prefix, self.inverse)]
+
+
+def _mix_all(x: np.ndarray, tag: int) -> np.ndarray:
+    """``_mix`` of a whole array."""
+    x = x + np.uint64((tag * 0x9E3779B97F4A7C15) & _M)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def _mix(x: int, tag: int) -> int:
@@ -112,36 +118,37 @@ def parse_object(text: str | None) -> dict | None:
 class _Shape:
     """Walks the tokens of one valid record and joins the hashes of its pieces."""
 
-    def __init__(self, tokens: list[str], hashes: list[tuple[int, int]], unordered: frozenset[tuple[int, int]]):
-        self.tokens, self.hashes, self.unordered, self.i = tokens, hashes, unordered, 0
+    def __init__(self, tokens: list[str], at: int, keys: list, strings: list, others: list, unordered: frozenset[tuple[int, int]]):
+        self.tokens, self.i = tokens, at
+        self.keys, self.strings, self.others, self.unordered = keys, strings, others, unordered
 
     def value(self, key: tuple[int, int] | None = None) -> tuple[int, int] | None:
-        i = self.i
-        token = self.tokens[i]
-        self.i += 1
+        i, tokens = self.i, self.tokens
+        token = tokens[i]
+        self.i = i + 1
         first = token[0]
         if first == '"':
-            return _pair(self.hashes[i], 3)
+            return self.strings[i]
         if first == "{":
             members: dict[str, tuple[int, int]] = {}
-            while self.tokens[self.i] != "}":
-                if self.tokens[self.i] == ",":
+            while tokens[self.i] != "}":
+                if tokens[self.i] == ",":
                     self.i += 1
                 k = self.i
-                self.i += 2  # the key and its colon
-                inner = self.value(self.hashes[k])
-                name = self.tokens[k]
+                self.i = k + 2  # the key and its colon
+                h = self.keys[k]
+                inner = self.value(h)
+                name = tokens[k]
                 members.pop(name, None)  # a repeated key: the last one holds
                 if inner is not None:
-                    h = self.hashes[k]
-                    members[name] = (_mix(h[0] ^ _mix(inner[0], 5), 7), _mix(h[1] ^ _mix(inner[1], 6), 8))
+                    members[name] = (_mix(h[0] ^ (inner[0] * 5 & _M), 7), _mix(h[1] ^ (inner[1] * 5 & _M), 8))
             self.i += 1
             return _pair((sum(m[0] for m in members.values()) & _M, sum(m[1] for m in members.values()) & _M), 11)
         if first == "[":
             free = key in self.unordered
             a, b, n = 0, 0, 0
-            while self.tokens[self.i] != "]":
-                if self.tokens[self.i] == ",":
+            while tokens[self.i] != "]":
+                if tokens[self.i] == ",":
                     self.i += 1
                 inner = self.value() or (0x5EED, 0x5EEE)  # a null member counts as a member
                 n += 1
@@ -153,7 +160,7 @@ class _Shape:
             return _pair(((a + n) & _M, (b + n) & _M), 17)
         if token == "null":
             return None
-        return _pair(self.hashes[i], 19)
+        return self.others[i]
 
 
 def _number(token: str) -> str:
@@ -166,50 +173,43 @@ def _number(token: str) -> str:
     return repr(value).replace("-", "m").replace(".", "p").replace("+", "")
 
 
+_MARKS = frozenset("{}[],:")
+
+
+def _piece(token: str) -> str:
+    """What is hashed of a token: the text of a string, the value of a number, nothing of a mark."""
+    if token[0] == '"':
+        return token[1:-1] if "\\" not in token else _unescape(token[1:-1])
+    return "" if token in _MARKS else _number(token)
+
+
 def fingerprints(texts: Sequence[str | None], unordered: Sequence[str] = ("categories", "tags")) -> list[bytes | None]:
     """A 16-byte fingerprint for each text that holds a JSON object, else None."""
-    buffer: list[str] = []
-    starts: list[int] = []
-    ends: list[int] = []
-    spans: list[tuple[int, int] | None] = []
-    tokens: list[str] = []
-    at = 0
-    for name in unordered:  # the names' own hashes come first
-        buffer.append(name)
-        starts.append(at)
-        at += len(name)
-        ends.append(at)
-        tokens.append(name)
+    tokens: list[str] = list(unordered)  # the names' own hashes come first
+    pieces: list[str] = list(unordered)
+    places: list[int | None] = []
     for text in texts:
         if parse_object(text) is None:
-            spans.append(None)
+            places.append(None)
             continue
-        first = len(tokens)
-        for token in _TOKEN.findall(text):
-            if token[0] == '"':
-                piece = token[1:-1]
-                if "\\" in piece:
-                    piece = _unescape(piece)
-            elif token in "{}[],:":
-                piece = ""
-            else:
-                piece = _number(token)
-            tokens.append(token)
-            buffer.append(piece)
-            starts.append(at)
-            at += len(piece)
-            ends.append(at)
-        spans.append((first, len(tokens)))
-    joined = "".join(buffer)
-    hashes = PieceHasher(joined).pieces(np.array(starts, np.int64), np.array(ends, np.int64))
-    free = frozenset(hashes[: len(unordered)])
+        places.append(len(tokens))
+        own = _TOKEN.findall(text)
+        tokens += own
+        pieces += map(_piece, own)
+    ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+    starts = np.concatenate((np.zeros(1, np.int64), ends[:-1]))
+    a, b = PieceHasher("".join(pieces)).pieces(starts, ends)
+    keys = list(zip(a.tolist(), b.tolist()))
+    strings = list(zip(_mix_all(a, 3).tolist(), _mix_all(b, 4).tolist()))
+    others = list(zip(_mix_all(a, 19).tolist(), _mix_all(b, 20).tolist()))
+    free = frozenset(keys[: len(unordered)])
     found: list[bytes | None] = []
-    for span in spans:
-        if span is None:
+    for at in places:
+        if at is None:
             found.append(None)
             continue
-        a, b = _Shape(tokens[span[0] : span[1]], hashes[span[0] : span[1]], free).value() or (0, 0)
-        found.append(a.to_bytes(8, "big") + b.to_bytes(8, "big"))
+        x, y = _Shape(tokens, at, keys, strings, others, free).value() or (0, 0)
+        found.append(x.to_bytes(8, "big") + y.to_bytes(8, "big"))
     return found
 
 
@@ -294,9 +294,11 @@ def fingerprint_rows(rows: DataFrame, id_col: str, text_col: str, unordered: Seq
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = pa.array(fingerprints(batch.column(1).to_pylist(), unordered), pa.binary())
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), marks], ["_id", "_text", "_mark"])
-            yield out.filter(marks.is_valid())
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                marks = pa.array(fingerprints(part.column(1).to_pylist(), unordered), pa.binary())
+                out = pa.RecordBatch.from_arrays([part.column(0), part.column(1), marks], ["_id", "_text", "_mark"])
+                yield out.filter(marks.is_valid())
 
     # JSON objects hold a brace: the scan drops null, blank and most malformed lines.
     source = rows.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").contains("{"))
@@ -312,13 +314,14 @@ def copies(rows: DataFrame, id_col: str, text_col: str, unordered: Sequence[str]
     first row is the one with the smallest id.  Null, blank and malformed texts
     and JSON that is no object are no records and do not appear.
 
+    Records are fingerprinted once and checkpointed with their texts.
     Fingerprints are grouped with partial aggregation; the first row of each
     group joins back by fingerprint, so a group with a third of all rows is one
     row on one side and is split by adaptive execution on the other.  Each
     joined row is verified against the first with two pointers; rows that turn
     out to differ are grouped by their exact content instead.
     """
-    marked = fingerprint_rows(rows, id_col, text_col, unordered)
+    marked = cut_lineage(fingerprint_rows(rows, id_col, text_col, unordered))
     firsts = (
         marked.groupBy("_mark")
         .agg(F.min_by(F.struct("_id", "_text"), "_id").alias("_first"), F.count("*").alias("_n"))
