@@ -16,6 +16,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def once(value: Column) -> Column:
+    """A generator of exactly ``value``, for ``select``.
+
+    The optimizer copies a column into every filter above it; it does not
+    copy a generator, so a costly value is computed once per row.
+    """
+    return F.explode(F.array(value))
+
+
+def once_if(value: Column, test: Callable[[Column], Column]) -> Column:
+    """A generator of ``value`` where it passes ``test``, and of no row where it does not; both see it computed once."""
+    return F.explode(F.filter(F.array(value), lambda v: F.coalesce(test(v), F.lit(False))))
+
+
 def _alternation(words) -> str:
     return "|".join(sorted(words, key=lambda w: (-len(w), w)))
 

@@ -83,7 +83,7 @@ def with_types(entries: DataFrame, config: BuilderConfig) -> DataFrame:
     glosses = F.flatten(F.transform("_hits", lambda s: F.coalesce(s["glosses"], none)))
     tags = F.flatten(F.transform("_hits", lambda s: F.coalesce(s["tags"], none)))
     return (
-        entries.withColumn("types", F.filter(types, keep))
+        entries.select("*", text.once(F.filter(types, keep)).alias("types"))
         .withColumn("first_gloss", F.get(glosses, 0))
         .withColumn("sense_tags", F.array_sort(F.array_distinct(F.filter(tags, lambda t: t.isNotNull()))))
         .drop("_hits")
@@ -101,6 +101,11 @@ def first_per_word(entries: DataFrame, config: BuilderConfig, order: list[str])
     return good.groupBy("word").agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_e")).select("word", "_e.*")
 
 
+def long_enough(elements: Column) -> Column:
+    """Two fixed words at least, one of them a content word."""
+    return (pattern.fixed_count(elements) >= 2) & pattern.has_content_word(elements)
+
+
 def build(entries: DataFrame, config: BuilderConfig, order: list[str]) -> DataFrame:
     """Lexicon entries of a dump: id, phrase, categories, pos, definition, tags, elements, and the columns of ``order``.
 
@@ -108,8 +113,7 @@ def build(entries: DataFrame, config: BuilderConfig, order: list[str]) -> DataFr
     after the first of each headword was chosen.
     """
     firsts = first_per_word(with_types(in_language(entries, config), config), config, order)
-    shaped = firsts.withColumn("elements", pattern.phrase_elements(F.col("word")))
-    kept = shaped.where((pattern.fixed_count(F.col("elements")) >= 2) & pattern.has_content_word(F.col("elements")))
+    kept = firsts.select("*", text.once_if(pattern.phrase_elements(F.col("word")), long_enough).alias("elements"))
     return kept.select(
         hashing.phrase_id("word").alias("id"),
         F.col("word").alias("phrase"),
@@ -125,8 +129,7 @@ def build(entries: DataFrame, config: BuilderConfig, order: list[str]) -> DataFr
 def build_stats(entries: DataFrame, config: BuilderConfig, order: list[str]) -> DataFrame:
     """One row: lines scanned, entries written, headwords skipped as too short."""
     firsts = first_per_word(with_types(in_language(entries, config), config), config, order)
-    elements = pattern.phrase_elements(F.col("word"))
-    good = firsts.select(((pattern.fixed_count(elements) >= 2) & pattern.has_content_word(elements)).alias("good"))
+    good = firsts.select(text.once(text.let(pattern.phrase_elements(F.col("word")), long_enough)).alias("good"))
     counts = good.agg(F.count_if("good").alias("written"), F.count_if(~F.col("good")).alias("skipped_too_short"), F.lit(0).cast("bigint").alias("scanned"))
     scanned = entries.agg(F.lit(0).cast("bigint").alias("written"), F.lit(0).cast("bigint").alias("skipped_too_short"), F.count("*").alias("scanned"))
     return counts.unionByName(scanned).agg(*[F.sum(c).alias(c) for c in ("scanned", "written", "skipped_too_short")])

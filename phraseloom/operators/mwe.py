@@ -58,9 +58,8 @@ def candidates(sentences: DataFrame, entries: DataFrame, key: str = "sent_id") -
 
 def matched(pairs: DataFrame) -> DataFrame:
     """Candidates with the positions of their match, ``_path``; the others drop.  Phrasal verbs pass their gate."""
-    # a generator, as a filter on the path would make the optimizer compute it twice
     path = pattern.match(F.col("_toks"), F.col("_plan"))
-    found = pairs.select("*", F.explode(F.filter(F.array(path), lambda p: p.isNotNull())).alias("_path"))
+    found = pairs.select("*", text.once_if(path, lambda p: p.isNotNull()).alias("_path"))
     gate = pattern.phrasal_arc_ok(F.col("_path"), F.col("_heads"), F.col("_rels"), F.col("_upos"))
     return found.where(~F.col("_phrasal") | gate)
 

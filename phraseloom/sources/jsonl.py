@@ -75,6 +75,12 @@ def _u32(variant: Column, path: str) -> Column:
     return F.coalesce(_kind(variant, path).isin("BIGINT", "LONG") & value.between(0, 4294967295), F.lit(False))
 
 
+def _parsed(lines: DataFrame, line: str, schema: str) -> DataFrame:
+    """Add ``_p``: the line as a variant (v) and by the schema (e), parsed once for all checks."""
+    both = F.struct(F.try_parse_json(line).alias("v"), F.from_json(line, schema).alias("e"))
+    return lines.select("*", text.once(both).alias("_p")).select(*lines.columns, F.col("_p.v").alias("_v"), F.col("_p.e").alias("_e"))
+
+
 def parse_lexicon(lines: DataFrame, line: str = "line") -> DataFrame:
     """Entries of a lexicon file; other columns are kept.
 
@@ -83,9 +89,7 @@ def parse_lexicon(lines: DataFrame, line: str = "line") -> DataFrame:
     """
     v = F.col("_v")
     parsed = (
-        lines.where(text.unicode_trim(F.col(line)) != "")
-        .withColumn("_v", F.try_parse_json(line))
-        .withColumn("_e", F.from_json(line, LEXICON_SCHEMA))
+        _parsed(lines.where(text.unicode_trim(F.col(line)) != ""), line, LEXICON_SCHEMA)
         .where(
             _u32(v, "$.id")
             & F.coalesce(_kind(v, "$.phrase") == "STRING", F.lit(False))
@@ -124,8 +128,7 @@ def parse_wiki(lines: DataFrame, line: str = "line") -> DataFrame:
     kind = _kind(v, "$.senses")
     senses_ok = kind.isNull() | (kind == "VOID") | F.coalesce(F.forall(senses, sense_ok), F.lit(False))
     parsed = (
-        lines.withColumn("_v", F.try_parse_json(line))
-        .withColumn("_e", F.from_json(line, WIKI_SCHEMA))
+        _parsed(lines, line, WIKI_SCHEMA)
         .where(
             F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
             & _text_or_nothing(v, "$.word")
@@ -143,9 +146,7 @@ def parse_corrections(lines: DataFrame, order: list[str], line: str = "line") ->
     """(id, categories): the last good line of each id, by the columns of ``order``."""
     v = F.col("_v")
     good = (
-        lines.where(text.unicode_trim(F.col(line)) != "")
-        .withColumn("_v", F.try_parse_json(line))
-        .withColumn("_e", F.from_json(line, CORRECTION_SCHEMA))
+        _parsed(lines.where(text.unicode_trim(F.col(line)) != ""), line, CORRECTION_SCHEMA)
         .where(_u32(v, "$.id") & _strings(v, "$.categories", required=True))
     )
     return good.groupBy(F.col("_e.id").alias("id")).agg(F.max_by("_e.categories", F.struct(*order)).alias("categories"))
