@@ -19,6 +19,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -41,13 +42,16 @@ LOOK_ALIKES = (
 HYPHENS = "‐‑"
 
 
+def _assigned() -> Iterator[int]:
+    """Code points that may have a form of their own, ascending: no surrogates, private use or empty planes."""
+    return chain(range(0xD800), range(0xF900, 0x30000), range(0xE0000, 0xE0200))
+
+
 @lru_cache(maxsize=1)
 def folds() -> dict[int, str]:
     """Code point (of a decomposed text) -> what it looks like; the empty string drops it."""
     table: dict[int, str] = {}
-    for cp in range(0x110000):
-        if 0xD800 <= cp < 0xE000:
-            continue
+    for cp in _assigned():
         c = chr(cp)
         if unicodedata.category(c) == "Zs" and c != " ":
             table[cp] = " "
@@ -71,15 +75,13 @@ def whole_form(text: str) -> str:
 def unstable_ranges() -> tuple[tuple[int, int], ...]:
     """Ranges of code points that may change or combine with the one before."""
     maybe = set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3))  # vowels and finals of Hangul
-    for cp in range(0x110000):
-        if 0xD800 <= cp < 0xE000:
-            continue
+    for cp in _assigned():
         parts = unicodedata.decomposition(chr(cp)).split()
         if len(parts) == 2 and parts[0][0] != "<":
             maybe.add(int(parts[1], 16))
     found = []
-    for cp in range(0x80, 0x110000):
-        if 0xD800 <= cp < 0xE000:
+    for cp in _assigned():
+        if cp < 0x80:
             continue
         c = chr(cp)
         if cp in maybe or unicodedata.combining(c) or whole_form(c) != c:
