@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Parts into which the records of one term are spread.
+#: Least number of parts into which the records of one term are spread.
 SALTS = 32
 
 
@@ -64,7 +64,7 @@ def term_counts(tokens: DataFrame, term: str, record: str) -> DataFrame:
     Tokens are hash-partitioned by term and a salt of their record, and sorted
     by record within each partition; a record has one salt, so the counts of a
     term's parts add up exactly while a term that a third of the tokens hold is
-    spread over many tasks.  A partition keeps three numbers per distinct term.
+    spread over as many tasks as the shuffle has.  A partition keeps three numbers per distinct term.
 
     Null and empty terms are left out; a null record is no record (its tokens
     still occur); terms are compared exactly; an empty table gives no row.
@@ -89,7 +89,8 @@ def term_counts(tokens: DataFrame, term: str, record: str) -> DataFrame:
         if rest.num_rows:
             yield rest.set_column(2, "records", pa.array(np.zeros(rest.num_rows, np.int64)))
 
-    salt = F.pmod(F.xxhash64(F.lit(7), "_record"), F.lit(SALTS))
+    parts_of_a_term = max(SALTS, int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salt = F.pmod(F.xxhash64(F.lit(7), "_record"), F.lit(parts_of_a_term))
     spread = (
         tokens.select(F.col(term).alias("_term"), F.col(record).cast("bigint").alias("_record"))
         .where("_term is not null and _term <> ''")
