@@ -91,10 +91,15 @@ def tokenize(text: Column) -> Column:
     return F.when(nothing, tokens).otherwise(F.flatten(F.transform(tokens, split_contraction)))
 
 
-def _lookup(table: dict[str, str], word: Column) -> Column:
-    """The value for ``word`` or null.  The set test is hashed, so words outside the table cost one probe."""
+def _in(word: Column, table: dict[str, str]) -> Column:
+    """Whether ``word`` is a key; a hashed test, so words outside the table cost one probe."""
+    return word.isin(*table)
+
+
+def _value(word: Column, table: dict[str, str]) -> Column:
+    """The value of a key."""
     entries = F.str_to_map(F.lit(",".join(f"{k}:{v}" for k, v in table.items())), F.lit(","), F.lit(":"))  # folded to a constant
-    return F.when(word.isin(*table), F.element_at(entries, word))
+    return F.element_at(entries, word)
 
 
 def lemma(word: Column, is_verb: Column | bool = False) -> Column:
@@ -113,8 +118,8 @@ def lemma(word: Column, is_verb: Column | bool = False) -> Column:
         n = F.length(t)
         cut = lambda k: F.left(t, n - k)
         return (
-            F.when(verb & t.isin(*C.IRREGULAR_VERBS), _lookup(C.IRREGULAR_VERBS, t))
-            .when(t.isin(*C.IRREGULAR), _lookup(C.IRREGULAR, t))
+            F.when(verb & _in(t, C.IRREGULAR_VERBS), _value(t, C.IRREGULAR_VERBS))
+            .when(_in(t, C.IRREGULAR), _value(t, C.IRREGULAR))
             .when((n <= 3) | ~ends(t, "s", "ing", "ed") | ~t.rlike(r"^\p{IsAlphabetic}+$"), t)
             .when(ends(t, "ies") & (n > 4), F.concat(cut(3), F.lit("y")))
             .when(ends(t, "ses", "shes", "ches", "xes", "zes"), cut(2))

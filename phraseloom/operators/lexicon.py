@@ -39,12 +39,13 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
 def load(spark: SparkSession, main: str, custom: str | None = None) -> DataFrame:
     """Main lexicon file, then the custom one if it exists; a missing main file is an error."""
     paths = [main]
-    if custom is not None and _exists(spark, custom):
+    if custom is not None and exists(spark, custom):
         paths.append(custom)
     return with_entry_index(jsonl.parse_lexicon(jsonl.read_lines(spark, paths)), ["file_ord", "line_no"]).drop("file_ord", "line_no")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on any file system Spark reads."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 

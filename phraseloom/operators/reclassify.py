@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phraseloom import constants as C
-from phraseloom.operators.lexicon import numbered
+from phraseloom.operators.lexicon import exists, numbered
+from phraseloom.plans.lineage import cut_lineage
+from phraseloom.sources import jsonl
 
 
 def idioms(entries: DataFrame) -> DataFrame:
@@ -110,3 +112,23 @@ def relabel(entries: DataFrame, labels: DataFrame, order: str | None = None) ->
     fixed = F.coalesce(F.col("kind") == "fixed", F.lit(False))
     target = F.when(fixed, "fixed_collocation").otherwise("idiom")
     return joined.select("id", rewrite(F.col("categories"), target).alias("categories"), fixed.alias("reclassified"))
+
+
+def run(entries: DataFrame, corrections_path: str, ask: Callable[[str], str], order: list[str], per_minute: int = 0) -> DataFrame:
+    """Reclassify the idioms that ``corrections_path`` has no line for yet, append their lines, return counters.
+
+    Safe to run again: what is in the folder is done.  The classifier is called
+    once per batch, as its answers are checkpointed before they are written.
+    """
+    spark = entries.sparkSession
+    todo = idioms(entries)
+    if exists(spark, corrections_path):
+        lines = spark.read.text(corrections_path).withColumnRenamed("value", "line")
+        todo = unprocessed(todo, lines.select(F.get_json_object("line", "$.id").cast("bigint").alias("id")).where("id is not null"))
+    batched = cut_lineage(batches(todo, order))
+    answers = cut_lineage(classify(prompts(batched), ask, per_minute))
+    labels = answers.select(F.explode(labels_of(F.col("answer"))).alias("l")).select("l.*")
+    lines = cut_lineage(relabel(batched, labels))
+    jsonl.append_corrections(lines, corrections_path)
+    counts = lines.agg(F.count("*").alias("processed"), F.count_if("reclassified").alias("reclassified"))
+    return counts.withColumn("batches", F.ceil(F.col("processed") / C.BATCH_SIZE))

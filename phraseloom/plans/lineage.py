@@ -17,7 +17,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if shared is None and (not master.startswith("local") or master.startswith("local-cluster")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="phraseloom-ckpt-"))
     return df.checkpoint(eager=True)

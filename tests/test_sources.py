@@ -156,6 +156,24 @@ def test_classify_and_relabel(spark):
     assert out[1] == (["fixed_collocation"], True) and out[2] == (["idiom", "fixed_collocation"], False) and out[101] == (["idiom", "fixed_collocation"], False)
 
 
+def test_reclassification_resumes(spark, tmp_path):
+    entries = spark.createDataFrame([(i, f"p {i}", None, ["idiom"] if i % 3 else ["proverb"], i) for i in range(90)], "id bigint, phrase string, definition string, categories array<string>, k int")
+
+    def ask(prompt):
+        import json as j
+        import re
+
+        ids = [int(x) for x in re.findall(r"id=(\d+)", prompt)]
+        return j.dumps({"candidates": [{"content": {"parts": [{"text": j.dumps({"results": [{"id": i, "kind": "fixed"} for i in ids if i % 2]})}]}}]})
+
+    path = str(tmp_path / "corrections")
+    assert tuple(reclassify.run(entries.where("id < 60"), path, ask, ["k"]).first()) == (40, 20, 1)
+    assert tuple(reclassify.run(entries, path, ask, ["k"]).first()) == (20, 10, 1)
+    assert tuple(reclassify.run(entries, path, ask, ["k"]).first()) == (0, 0, 0)
+    lines = [json.loads(r.value) for r in spark.read.text(path).collect()]
+    assert len(lines) == len({x["id"] for x in lines}) == 60 and {tuple(x["categories"]) for x in lines if x["id"] % 2} == {("fixed_collocation",)}
+
+
 def test_numbering_over_partitions(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k")).repartition(7)
     assert all(r.k == r.n for r in lexicon.numbered(df, ["k"], "n").collect())
