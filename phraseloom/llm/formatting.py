@@ -16,6 +16,7 @@ import re
 import unicodedata
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,17 +27,16 @@ from phraseloom.plans.lineage import cut_lineage
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so they have inverses modulo 2**64
 _M = (1 << 64) - 1
-_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s{}\[\],:"]+', re.S)
-_ESCAPE = re.compile(r"\\(u[0-9a-fA-F]{4}|.)", re.S)
+#: Strings, brackets and bare values; in valid JSON commas and colons tell nothing more.
+_TOKEN = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*"|[{}\[\]]|[^\s{}\[\],:"]+', re.S)
 
 
 @lru_cache(maxsize=1)
 def fold_table() -> np.ndarray:
     """Code point -> folded code point, 0 for those that are skipped (white space, punctuation, controls)."""
     table = np.arange(0x110000, dtype=np.uint32)
-    for cp in range(0x110000):
-        if 0xD800 <= cp < 0xE000:
-            continue
+    # ideographs, surrogates and private use fold to themselves
+    for cp in chain(range(0x3400), range(0xA000, 0xAC00), range(0xF900, 0x20000), range(0xE0000, 0xE0200)):
         c = chr(cp)
         kind = unicodedata.category(c)
         if kind[0] == "P" or kind[0] == "Z" or kind in ("Cc", "Cf") or c in "`´^~|<>=+$¨":
@@ -132,10 +132,8 @@ class _Shape:
         if first == "{":
             members: dict[str, tuple[int, int]] = {}
             while tokens[self.i] != "}":
-                if tokens[self.i] == ",":
-                    self.i += 1
                 k = self.i
-                self.i = k + 2  # the key and its colon
+                self.i = k + 1
                 h = self.keys[k]
                 inner = self.value(h)
                 name = tokens[k]
@@ -148,8 +146,6 @@ class _Shape:
             free = key in self.unordered
             a, b, n = 0, 0, 0
             while tokens[self.i] != "]":
-                if tokens[self.i] == ",":
-                    self.i += 1
                 inner = self.value() or (0x5EED, 0x5EEE)  # a null member counts as a member
                 n += 1
                 if free:
@@ -173,7 +169,7 @@ def _number(token: str) -> str:
     return repr(value).replace("-", "m").replace(".", "p").replace("+", "")
 
 
-_MARKS = frozenset("{}[],:")
+_MARKS = frozenset("{}[]")
 
 
 def _piece(token: str) -> str:
