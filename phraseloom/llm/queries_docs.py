@@ -68,3 +68,33 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What share of each source's texts was cut."""
     return truncation.by_source(p9_cuts(spark, sf_dir), "source")
+
+
+_B = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}\x{1C}-\x{1F}]"
+_CLOSE = "[\"''”’»«)\\]}*_]*"
+_SENTENCE = f"""regexp_matches(last, '[.!?。！？؟।]{_CLOSE}$') AND NOT regexp_matches(last, '(^|\\s)\\d+\\.$') AND NOT regexp_matches(last, 'https?://[^/\\s]*\\.$')"""
+_OTHER = """regexp_matches(last, '[)\\]}>”»]$') AND NOT marker OR regexp_matches(last, '[\\p{So}\\p{Sk}\\x{FE0F}\\x{200D}]$')
+  OR regexp_matches(last, '^[—–-]{1,2} ?\\p{Lu}[\\p{L}''’.-]*( \\p{Lu}[\\p{L}''’.-]*)+$') OR regexp_matches(last, '^(#[\\p{L}\\p{N}_]+\\s*)+$')
+  OR regexp_matches(last, 'https?://\\S+/\\d+$')
+  OR (NOT contains(e, chr(10)) AND NOT regexp_matches(e, '[.!?。！？…:\\[\\]]') AND length(e) <= 120 AND NOT regexp_matches(e, '(^|\\s)\\p{Ll}[\\p{L}''’-]{4,}'))"""
+_CUTS = f"""
+WITH a AS (SELECT doc_id, source, text, coalesce(NOT regexp_full_match(text, '{_B}*'), false) AS filled, length(text) AS chars, strlen(text) AS bytes, regexp_replace(text, '{_B}+$', '') AS e FROM documents),
+b AS (SELECT *, regexp_extract(e, '[^\n]*$') AS last, regexp_extract(text, '^\\s*<([A-Za-z][A-Za-z0-9]*)[^<>]*>', 1) AS tag, right(e, 3) AS tail FROM a),
+c AS (SELECT *, regexp_matches(last, '(\\[\\s*(\\.\\.\\.|…)\\s*\\]|\\x{{FFFD}})$') AS marker, regexp_matches(last, '…{_CLOSE}$') AS dots, coalesce(tag <> '' AND NOT ends_with(e, '</' || tag || '>'), false) AS open FROM b),
+d AS (SELECT *, ({_SENTENCE} OR {_OTHER}) AND NOT open AS closed FROM c),
+x AS (SELECT source, max(chars) AS mc, max(bytes) AS mb FROM d WHERE filled GROUP BY source),
+y AS (SELECT x.source, mc, mb, count(*) FILTER (WHERE mc - chars <= 1) AS e1, count(*) FILTER (WHERE mc - chars BETWEEN 2 AND 25) AS e2, count(*) FILTER (WHERE mc - chars <= 16) AS w1,
+  count(*) FILTER (WHERE mc - chars BETWEEN 17 AND 220) AS w2, count(*) FILTER (WHERE mb - bytes <= 5) AS b1, count(*) FILTER (WHERE mb - bytes BETWEEN 6 AND 77) AS b2
+  FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source WHERE filled GROUP BY ALL),
+z AS (SELECT source, CASE WHEN e1 >= 3 AND e1 * 4 >= e2 THEN mc - 1 END AS ze, CASE WHEN w1 >= 3 AND w1 * 4 >= w2 THEN mc - 16 END AS zw, CASE WHEN b1 >= 3 AND b1 * 4 >= b2 THEN mb - 5 END AS zb FROM y),
+f AS (SELECT d.*, coalesce(chars >= ze, false) OR coalesce(bytes >= zb, false) AS at_limit, coalesce(chars >= zw, false) AS wide FROM d LEFT JOIN z ON d.source IS NOT DISTINCT FROM z.source),
+g AS (SELECT source, tail, count(*) AS n FROM f WHERE filled AND (at_limit OR wide) GROUP BY ALL),
+h AS (SELECT source, sum(n) AS al, max(n) AS mo, arg_max(tail, n) AS mt FROM g GROUP BY source),
+i AS (SELECT f.*, marker OR coalesce(tail = mt AND mo >= 5 AND mo * 2 >= al, false) AS omitted FROM f LEFT JOIN h ON f.source IS NOT DISTINCT FROM h.source),
+cuts AS (SELECT doc_id, source, filled, CASE WHEN NOT filled THEN NULL WHEN at_limit AND (omitted OR dots OR NOT closed) THEN 'limit' WHEN wide AND (omitted OR NOT (closed OR dots)) THEN 'limit'
+  WHEN omitted OR NOT (closed OR dots) THEN 'transfer' END AS cut FROM i)
+"""
+P9_CUTS_SQL = _CUTS + "SELECT * FROM cuts"
+P9_SQL = _CUTS + "SELECT doc_id FROM cuts WHERE cut IS NOT NULL"
+P9_SOURCES_SQL = _CUTS + """SELECT source, count(*) AS texts, count(*) FILTER (WHERE cut = 'limit') AS limit_cuts, count(*) FILTER (WHERE cut = 'transfer') AS transfer_cuts,
+  count(cut) / count(*) AS share FROM cuts WHERE filled GROUP BY source"""

@@ -31,10 +31,11 @@ def p1_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One entry per headword and part of speech, groups of one row included."""
     rows = grouped_rows(spark, sf_dir)
     best = R.winners(rows, GROUP, "rec_id", FIELDS, "trust", "updated_at")
-    return R.survivors(rows, best, GROUP, "rec_id", FIELDS)
+    whole = R.survivors(rows, best, GROUP, "rec_id", FIELDS)
+    return whole.withColumns({"categories": F.array_join("categories", "|"), "tags": F.array_join("tags", "|")})
 
 
-P1_SQL = r"""
+_VALUES = r"""
 WITH g AS (
   SELECT lower(trim(regexp_replace(replace(w.word, '’', ''''), '\s+', ' ', 'g'))) AS headword, l.*
   FROM lexicon_rows l JOIN wiki_dump w USING (entry_id) WHERE l.pos IS NOT NULL AND w.word IS NOT NULL),
@@ -43,7 +44,14 @@ v AS (
   SELECT headword, pos, rec_id, updated_at, 'definition' AS in_field FROM g
     WHERE definition IS NOT NULL AND lower(trim(definition)) NOT IN ('', '-', '—', '?', 'n/a', 'tbd')
   UNION ALL SELECT headword, pos, rec_id, updated_at, 'categories' FROM g WHERE len(list_filter(categories, lambda x: trim(x) <> '')) > 0
-  UNION ALL SELECT headword, pos, rec_id, updated_at, 'tags' FROM g WHERE len(list_filter(tags, lambda x: trim(x) <> '')) > 0)
-SELECT first_rec_id, in_field, arg_max(rec_id, coalesce(epoch_us(updated_at), -1)) AS best_rec_id
-FROM v JOIN n USING (headword, pos) GROUP BY first_rec_id, in_field
+  UNION ALL SELECT headword, pos, rec_id, updated_at, 'tags' FROM g WHERE len(list_filter(tags, lambda x: trim(x) <> '')) > 0),
+b AS (SELECT headword, pos, in_field, arg_max(rec_id, coalesce(epoch_us(updated_at), -1)) AS best_rec_id FROM v GROUP BY ALL)
 """
+P1_SQL = _VALUES + "SELECT first_rec_id, in_field, best_rec_id FROM b JOIN n USING (headword, pos)"
+_FIELD = "max({1}) FILTER (WHERE in_field = '{0}') AS {0}, max(best_rec_id) FILTER (WHERE in_field = '{0}') AS {0}_from"
+P1_ENTRIES_SQL = (
+    _VALUES
+    + "SELECT b.headword, b.pos, "
+    + ", ".join(_FIELD.format(f, f"l.{f}" if kind == "string" else f"array_to_string(l.{f}, '|')") for f, kind in FIELDS.items())
+    + " FROM b JOIN lexicon_rows l ON l.rec_id = b.best_rec_id GROUP BY b.headword, b.pos"
+)

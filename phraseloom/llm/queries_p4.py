@@ -31,3 +31,26 @@ def p4_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = [("phrase", phrases(spark, sf_dir)), ("sentences", sentences(spark, sf_dir))]
     forms = [lookalikes.with_form(rows, "text").select(F.lit(name).alias("in_field"), "*") for name, rows in both]
     return forms[0].unionByName(forms[1])
+
+
+def _translate() -> tuple[str, str]:
+    """The folds as two strings of equal places; characters without width stand at the end of the first."""
+    pairs = [pair.split(":") for pair in lookalikes.LOOK_ALIKES.split()]
+    pairs += [[chr(0xFF00 + c - 0x20), chr(c)] for c in range(0x21, 0x7F)] + [[h, "-"] for h in lookalikes.HYPHENS]
+    pairs += [[chr(c), " "] for c in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)]
+    dropped = "".join(chr(c) for a, b in lookalikes.NO_WIDTH for c in range(a, b + 1))
+    quote = lambda x: x.replace("'", "''")
+    return quote("".join(a for a, _ in pairs) + dropped), quote("".join(b for _, b in pairs))
+
+
+_FROM, _TO = _translate()
+_TEXTS = f"""
+WITH t AS (
+  SELECT 'phrase' AS in_field, rec_id AS key, phrase AS text FROM lexicon_rows WHERE phrase IS NOT NULL
+  UNION ALL SELECT 'sentences', req_no * 1000 + i, s FROM (SELECT req_no, generate_subscripts(a, 1) - 1 AS i, unnest(a) AS s
+    FROM (SELECT req_no, arg_min(sentences, loaded_at) AS a FROM parse_requests GROUP BY req_no)) WHERE s IS NOT NULL),
+f AS (SELECT *, nfc_normalize(translate(text, '{_FROM}', '{_TO}')) AS form FROM t)
+"""
+P4_SQL = _TEXTS + """SELECT a.in_field, a.key AS key_a, b.key AS key_b FROM f a JOIN f b ON a.in_field = b.in_field AND a.form = b.form AND a.key < b.key AND a.text <> b.text
+WHERE trim(a.form) <> ''"""
+P4_CANONICAL_SQL = _TEXTS + "SELECT in_field, key, text, form FROM f"
