@@ -36,11 +36,14 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": queries_p1.P1_SQL,
         "p1_entries": queries_p1.P1_ENTRIES_SQL,
+        "p2_found": queries_p2.P2_SQL,
+        "p2_records": queries_p2.P2_RECORDS_SQL,
         "p3_found": queries_p3.P3_SQL,
         "p4_found": queries_p4.P4_SQL,
         "p4_canonical": queries_p4.P4_CANONICAL_SQL,
         "p6_found": queries_p6.P6_SQL,
         "p6_terms": queries_p6.P6_TERMS_SQL,
+        "p7_roundtrip": "SELECT doc_id, true AS same FROM documents",
         "p9_found": D.P9_SQL,
         "p9_cuts": D.P9_CUTS_SQL,
         "p9_sources": D.P9_SOURCES_SQL,
