@@ -156,6 +156,7 @@ SELECT sent_id, entry_idx AS id, {_NUMBERS('path')} AS token_ids FROM g WHERE NO
   WHEN NOT regexp_full_match(feats, '_|[A-Za-z]+=[^|=]+([|][A-Za-z]+=[^|=]+)*') THEN 'grammar'
   WHEN p <> list_sort(list_distinct(p)) THEN 'order' WHEN feats <> '_' AND len(list_filter(string_split(feats, '|'), lambda x: x NOT IN {S.qs(f'{c}={v}' for c, vs in C.FEATS.items() for v in vs.split())})) > 0 THEN 'unknown' END AS problem
   FROM (SELECT upos, feats, list_transform(list_filter(string_split(feats, '|'), lambda x: x <> '_'), lambda x: split_part(x, '=', 1)) AS p FROM parsed_tokens)) GROUP BY ALL""",
+    "result_lines": "SELECT sent_id, to_json({'tokens': tokens, 'mwes': mwes})::varchar AS result FROM (SELECT DISTINCT sent_id, tokens, mwes FROM sentence_results)",
     "tag_profile": """SELECT upos, split_part(p, '=', 1) AS category, split_part(p, '=', -1) AS value, count(*) AS n
 FROM (SELECT upos, unnest(string_split(feats, '|')) AS p FROM parsed_tokens WHERE feats IS NOT NULL AND feats <> '_') GROUP BY ALL""",
 }
