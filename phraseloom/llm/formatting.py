@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -104,8 +105,17 @@ def _reject(name: str):
     raise ValueError(name)
 
 
+#: Calls that a worker may nest, two for each level of a record; what is deeper is no record.
+MAX_CALLS = 20000
+
+
+def _deep_calls() -> None:
+    """Let a worker's Python follow the deepest record."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), MAX_CALLS))
+
+
 def parse_object(text: str | None) -> dict | None:
-    """The JSON object in ``text``; None for null, malformed text and JSON that is not an object."""
+    """The JSON object in ``text``; None for null, malformed text, JSON that is not an object, and nesting that is too deep."""
     if text is None or "{" not in text:
         return None
     try:
@@ -179,6 +189,17 @@ def _piece(token: str) -> str:
     return "" if token in _MARKS else _number(token)
 
 
+def _comparison_key(first: str, text: str, unordered: Sequence[str]) -> str | None:
+    """None if both texts are copies, else what ``text`` is grouped by instead."""
+    if first == text:
+        return None
+    x, y = parse_object(first), parse_object(text)
+    try:
+        return None if same_value(x, y, unordered) else _exact_key(y, unordered)
+    except RecursionError:  # too deep to compare: a copy of equal texts only
+        return "\0" + text
+
+
 def fingerprints(texts: Sequence[str | None], unordered: Sequence[str] = ("categories", "tags")) -> list[bytes | None]:
     """A 16-byte fingerprint for each text that holds a JSON object, else None."""
     tokens: list[str] = list(unordered)  # the names' own hashes come first
@@ -204,7 +225,11 @@ def fingerprints(texts: Sequence[str | None], unordered: Sequence[str] = ("categ
         if at is None:
             found.append(None)
             continue
-        x, y = _Shape(tokens, at, keys, strings, others, free).value() or (0, 0)
+        try:
+            x, y = _Shape(tokens, at, keys, strings, others, free).value() or (0, 0)
+        except RecursionError:
+            found.append(None)
+            continue
         found.append(x.to_bytes(8, "big") + y.to_bytes(8, "big"))
     return found
 
@@ -289,6 +314,7 @@ def fingerprint_rows(rows: DataFrame, id_col: str, text_col: str, unordered: Seq
     kind = rows.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _deep_calls()
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
@@ -308,7 +334,8 @@ def copies(rows: DataFrame, id_col: str, text_col: str, unordered: Sequence[str]
     values once white space, letter case, punctuation, key order, the order of
     ``unordered`` arrays, and null against missing keys are set aside; its
     first row is the one with the smallest id.  Null, blank and malformed texts
-    and JSON that is no object are no records and do not appear.
+    and JSON that is no object (or is nested thousands of levels deep) are no
+    records and do not appear.
 
     Records are fingerprinted once and checkpointed with their texts.
     Fingerprints are grouped with partial aggregation; the first row of each
@@ -328,14 +355,9 @@ def copies(rows: DataFrame, id_col: str, text_col: str, unordered: Sequence[str]
     kind = rows.schema[id_col].dataType.simpleString()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _deep_calls()
         for batch in batches:
-            keys = []
-            for first, text in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                if first == text:
-                    keys.append(None)
-                    continue
-                x, y = parse_object(first), parse_object(text)
-                keys.append(None if same_value(x, y, unordered) else _exact_key(y, unordered))
+            keys = [_comparison_key(a, b, unordered) for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(keys, pa.string())], ["_mark", "_first_id", "_id", "_key"])
 
     verified = pairs.mapInArrow(verify, f"_mark binary, _first_id {kind}, _id {kind}, _key string")

@@ -104,3 +104,10 @@ def test_colliding_fingerprints_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(module, "fingerprint_rows", lambda rows, a, b, u: rows.selectExpr(f"{a} as _id", f"{b} as _text", "cast('x' as binary) as _mark"))
     got = {(r.first_id, r.id) for r in module.copies(df, "i", "t").collect()}
     assert got == {(0, 0), (0, 2), (1, 1), (1, 3), (1, 4), (5, 5)}
+
+
+def test_deep_nesting(spark):
+    deep = lambda n, x="[": '{"a": ' + x * n + "]" * n + "}"
+    texts = [deep(800), deep(800, "[ "), deep(801), deep(200_000), deep(200_000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i bigint, t string")
+    assert {(r.first_id, r.id) for r in M.copies(df, "i", "t").collect()} == {(0, 0), (0, 1)}
