@@ -31,11 +31,11 @@ class Container:
 
 @dataclass(frozen=True)
 class Bm25:
-    """Parameters of the ranking; a query is the ``query_terms`` rarest terms of the seed that occur elsewhere."""
+    """Parameters of the ranking; a query is every term of the seed that occurs elsewhere, or its ``query_terms`` rarest if given."""
 
     k1: float = 1.2
     b: float = 0.75
-    query_terms: int = 24
+    query_terms: int | None = None
 
 
 class Vocabulary(dict):
@@ -102,8 +102,7 @@ class Index:
         self.limit = bm25.query_terms
 
     def scores(self, seed: int) -> np.ndarray:
-        a = self.query_start[seed]
-        terms = self.query_terms[a : min(self.query_start[seed + 1], a + self.limit)]
+        terms = self.query_terms[self.query_start[seed] : self.query_start[seed + 1]][: self.limit]
         if not len(terms):
             return np.zeros(self.n)
         spans = [slice(self.start[t], self.start[t + 1]) for t in terms]

@@ -99,6 +99,19 @@ def test_bm25_scores_equal_the_formula():
         assert np.allclose(index.scores(seed), want)
 
 
+def test_a_query_is_the_whole_seed():
+    """Every shared term of a long seed counts, so a document that shares only common ones is found too."""
+    rng = np.random.default_rng(5)
+    docs = [np.concatenate((np.arange(40), 1000 + np.arange(200))), np.arange(40)]  # the seed and what shares its 40 rare terms
+    docs += [1000 + rng.choice(200, 30, replace=False) for _ in range(60)]  # share only its common terms
+    index = packing.Index(docs, packing.Bm25())
+    assert len(index.query_terms[index.query_start[0] : index.query_start[1]]) == 240
+    assert (index.scores(0) > 0).all()
+    assert np.allclose(index.scores(0), packing.Index(docs, packing.Bm25(query_terms=10_000)).scores(0))
+    _, _, _, _, box = packing.pack_shard(np.array([50, 10] + [5] * 60), 65, index)
+    assert (np.bincount(box, weights=np.array([50, 10] + [5] * 60)) <= 65).all()
+
+
 def test_pack(spark, paths):
     rows = [(i, t, 0) for i, t in enumerate(TEXTS)] + [(100 + i, "some words of text number %d." % (i % 7), 0) for i in range(60)] + [(100, "some words of text number 0.", 0)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, part int").repartition(3)
