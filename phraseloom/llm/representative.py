@@ -13,6 +13,9 @@ FILLERS = ("-", "--", "–", "—", "?", "??", ".", "...", "…", "n/a", "na", "
 #: Half-lives summed before the sum is put on a logarithmic scale.
 _BAND = 64.0
 
+#: Half-life of votes where none is given.
+_HALF_LIFE_HOURS = 1.0
+
 
 def headword_key(word: Column) -> Column:
     """Letter case, blanks and the shape of the apostrophe set aside."""
@@ -66,7 +69,7 @@ def winners(
     fields: Mapping[str, str],
     trust: str,
     time: str,
-    half_life_hours: float = 1.0,
+    half_life_hours: float | None = None,
 ) -> DataFrame:
     """The winning value of each group and field: (group, in_field, best_id).
 
@@ -74,10 +77,11 @@ def winners(
     half-life).  The sums are kept as logarithms: rows are added up within
     bands of 64 half-lives, then the bands of a value are joined by
     log-sum-exp, so an age of any number of half-lives counts and nothing
-    underflows.  With the default half-life of an hour the most recent value
-    wins and trust decides between values of the same hours.  The row that
-    stands for a value is its most recent; ties go to more trust, more text,
-    the smaller id.
+    underflows.  Without a half-life the value of the most recent row wins,
+    however many votes others have, and votes (with a half-life of an hour)
+    decide only between values whose most recent rows have the same time; with
+    one, votes decide alone.  The row that stands for a value is its most
+    recent; ties go to more trust, more text, the smaller id.
 
     Every step is a hash aggregation with partial sums, so a group that holds
     a third of all rows is combined before it is shuffled; nothing is
@@ -89,7 +93,7 @@ def winners(
     the result.  Repeated rows only add votes.
     """
     keys = [*group, "in_field", "_norm"]
-    long = vote_long(rows, group, row_id, fields, trust, time, half_life_hours)
+    long = vote_long(rows, group, row_id, fields, trust, time, _HALF_LIFE_HOURS if half_life_hours is None else half_life_hours)
     band = F.floor(F.col("_lives") / F.lit(_BAND))
     by_band = (
         long.withColumn("_band", band)
@@ -107,10 +111,12 @@ def winners(
     )
     top = F.array_max("_logs")
     votes = top + F.log2(F.aggregate("_logs", F.lit(0.0), lambda a, x: a + F.pow(F.lit(2.0), x - top)))
+    # no sum of votes is sure to stay below those of the newest row, so its time is compared first
+    order = ["_votes", "_rank"] if half_life_hours is not None else ["_rank._seconds", "_votes", "_rank"]
     return (
         by_value.withColumn("_votes", votes)
         .groupBy(*group, "in_field")
-        .agg(F.max_by("_row", F.struct("_votes", "_rank")).alias("best_id"))
+        .agg(F.max_by("_row", F.struct(*order)).alias("best_id"))
     )
 
 

@@ -46,6 +46,16 @@ def test_votes_add_up_over_bands(spark):
     assert _run(spark, old)[2] == {("a", "definition"): 1}
 
 
+def test_newest_value_wins_in_dense_groups(spark):
+    """However close and many older rows are, the most recent usable row's value survives; votes decide at its very time."""
+    half_hour = 1 / 48
+    rows = [(1, "a", "new", ["n"], 5, 10), (2, "a", "old", ["o"], 5, 10 - half_hour), (3, "a", "old", ["o"], 5, 10 - half_hour), (4, "a", "tbd", [], 5, 11)]
+    rows += [(10 + i, "b", f"v{i % 3}", [f"t{i % 2}"], 5, i / 1440) for i in range(300)] + [(400, "b", "last", ["l"], 1, 300 / 1440)]
+    rows += [(501, "c", "one", None, 2, 5), (502, "c", "two", None, 2, 5), (503, "c", "one", None, 2, 4.99)]
+    expected = {("a", "definition"): 1, ("a", "tags"): 1, ("b", "definition"): 400, ("b", "tags"): 400, ("c", "definition"): 501}
+    assert _run(spark, rows)[2] == expected
+
+
 def test_against_brute_force(spark):
     rng = random.Random(3)
     rows = [(i, rng.choice("pqrs"), rng.choice(["aa", "Bb.", "bb", "n/a", None, "cc"]), rng.choice([None, [], ["t"], ["u", "t"]]), rng.choice([None, 1, 5]), rng.choice([None, *range(9)])) for i in range(300)]
