@@ -9,8 +9,10 @@ documents that fit, neighbours or not.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +40,21 @@ class Bm25:
     query_terms: int | None = None
 
 
+#: Letters of scripts written without blanks: Thai, Lao, Myanmar, Khmer, Tai, kana and Han.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aaf\u3005-\u3007\u3040-\u309f\u30a1-\u30fa\u30fc-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uaa60-\uaa7f\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff"
+_HAS_UNSPACED = re.compile(f"[{_UNSPACED}]")
+_RUNS = re.compile(f"([{_UNSPACED}]+)|[^\\W{_UNSPACED}]+")
+
+#: Marks that are no part of a term at its ends.
+_MARKS = ".,;:!?\"'()[]{}“”‘’«»…—-" + "。、．，：；！？（）［］｛｝「」『』【】〈〉《》・｡､｢｣〜～"
+
+
 class Vocabulary(dict):
-    """Per worker: piece -> row of a table with its term number and its tokens under each vocabulary."""
+    """Per worker: piece -> row of a table with its term number and its tokens under each vocabulary.
+
+    A piece with letters of a script without blanks is many terms; it has the
+    number -1, and they are made anew each time, as such pieces seldom repeat.
+    """
 
     _FULL = 1 << 19
 
@@ -51,20 +66,30 @@ class Vocabulary(dict):
         self.table = np.zeros((1 << 12, self.width), np.int64)
 
     def __missing__(self, piece: str) -> int:
-        word = piece.strip().strip(".,;:!?\"'()[]{}“”‘’«»…—-").lower()
+        many = not piece.isascii() and _HAS_UNSPACED.search(piece)
+        word = piece.strip().strip(_MARKS).lower()
         at = len(self)
         if at == len(self.table):
             self.table = np.concatenate((self.table, np.zeros_like(self.table)))
-        self.table[at] = (self.terms.setdefault(word, len(self.terms)), *[c.middle(piece) for c in self.counters])
+        self.table[at] = (-1 if many else self.terms.setdefault(word, len(self.terms)), *[c.middle(piece) for c in self.counters])
         self[piece] = at
         return at
 
     def trim(self) -> None:
         """Between shards: forget everything once there is too much (term numbers matter within a shard only)."""
-        if len(self) > self._FULL:
+        if max(len(self), len(self.terms)) > self._FULL:
             self.terms.clear()
             self.clear()
 
+    def grams(self, piece: str) -> list[int]:
+        """Terms of a piece with letters of a script without blanks: their pairs of neighbours, and other words whole."""
+        found = []
+        for run in _RUNS.finditer(piece.lower()):
+            word = run.group()
+            words = (word[i : i + 2] for i in range(len(word) - 1)) if run.group(1) and len(word) > 1 else (word,)
+            found.extend(self.terms.setdefault(w, len(self.terms)) for w in words)
+        return found
+
     def measure(self, text: str) -> tuple[np.ndarray, list[int]]:
         """Term numbers of a text, and its size under each vocabulary."""
         pieces = PIECES.findall(text)
@@ -73,7 +98,10 @@ class Vocabulary(dict):
         sizes = rows[:, 1:].sum(axis=0).tolist()
         for k, c in enumerate(self.counters):
             sizes[k] += c.first(pieces[0]) - int(rows[0, k + 1])
-        return rows[:, 0], sizes
+        terms = rows[:, 0]
+        if terms.min() < 0:
+            terms = np.array(list(chain.from_iterable(self.grams(p) if t < 0 else (t,) for p, t in zip(pieces, terms.tolist()))), np.int64)
+        return terms, sizes
 
 
 class Index:

@@ -112,6 +112,35 @@ def test_a_query_is_the_whole_seed():
     assert (np.bincount(box, weights=np.array([50, 10] + [5] * 60)) <= 65).all()
 
 
+class _Ones:
+    """A counter by which each piece is one token."""
+
+    def middle(self, piece):
+        return 1
+
+    first = middle
+
+
+def test_texts_without_blanks_share_terms():
+    """Japanese and Thai texts are retrieved by what they say; full-width marks are no part of a term."""
+    texts = ["新しい料理の本を読みました。", "料理の本はとても面白い！", "電車で東京駅へ行く", "昨日、東京駅の電車が遅れた", "ไปโรงเรียน", "โรงเรียนของฉัน", "the word（word） here", "Word！"]
+    vocabulary = packing.Vocabulary([_Ones()])
+    terms = [vocabulary.measure(t)[0] for t in texts]
+    index = packing.Index(terms, packing.Bm25())
+    near = []
+    for seed in range(6):
+        score = index.scores(seed)
+        score[seed] = 0
+        assert score.max() > 0
+        near.append(int(score.argmax()))
+    assert near == [1, 0, 3, 2, 5, 4]
+    assert vocabulary.terms["word"] in terms[7] and vocabulary.measure("東")[0].tolist() == [vocabulary.terms["東"]]
+    assert all(vocabulary.measure(t)[0].tolist() == own.tolist() and (own >= 0).all() for t, own in zip(texts, terms))
+    vocabulary.terms.update((str(i), i) for i in range(vocabulary._FULL + 1))
+    vocabulary.trim()
+    assert not vocabulary and not vocabulary.terms
+
+
 def test_pack(spark, paths):
     rows = [(i, t, 0) for i, t in enumerate(TEXTS)] + [(100 + i, "some words of text number %d." % (i % 7), 0) for i in range(60)] + [(100, "some words of text number 0.", 0)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, part int").repartition(3)
