@@ -38,6 +38,7 @@ def ending_columns(text: Column) -> dict[str, Column]:
         "dots": dots,
         "sentence": sentence & ~open_tag,
         "closed": (sentence | (bracket & ~marker) | picture | signed | tags | source | title) & ~open_tag,
+        "ended": (sentence | (bracket & ~marker) | picture | signed | tags | source) & ~open_tag,
     }
 
 
@@ -57,13 +58,15 @@ def measured(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Da
 
 
 def spikes(rows: DataFrame, least: int = 3, times: float = 3.0, below: int = 12) -> DataFrame:
-    """(_source, and the lowest length of each zone of ``ZONES`` that is a spike, else null).
+    """(_source, and the lowest length of each zone of ``ZONES`` that is a spike, else null; the wide one also as ``_zone_dense``).
 
     The length histograms (characters and bytes) of all sources come from one
     aggregation with partial sums and hold a row per source and length.  A zone
     at the maximum is a spike if it holds at least ``least`` texts and
     ``times`` as many as the ``below`` equally wide zones under it do on
-    average.
+    average.  Where texts are short, lengths below 0 are among those zones, so
+    complete short texts can look like a wide spike; a dense one stands out from
+    the lengths that there are.
     """
     lengths = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(f"_{m}").alias("length")) for m in ("chars", "bytes")])
     histogram = rows.where("_filled").select("_source", F.explode(lengths).alias("_l")).groupBy("_source", "_l.measure", "_l.length").agg(F.count("*").alias("n"))
@@ -77,7 +80,11 @@ def spikes(rows: DataFrame, least: int = 3, times: float = 3.0, below: int = 12)
         sums.append((F.max(F.when(own, F.col("high"))) - zone).alias(f"{name}_low"))
     found = top.groupBy("_source").agg(*sums)
     is_spike = lambda name: (F.col(f"{name}_top") >= least) & (F.col(f"{name}_top") >= F.lit(times / below) * F.col(f"{name}_under"))
-    return found.select("_source", *[F.when(is_spike(name), F.col(f"{name}_low")).alias(f"_zone_{name}") for name in ZONES])
+    wide = ZONES["wide"][1] + 1
+    there = F.least(F.col("wide_low"), F.lit(below * wide))
+    dense = is_spike("wide") & (F.col("wide_low") >= wide) & (F.col("wide_top") * there >= F.lit(times * wide) * F.col("wide_under"))
+    zones = [F.when(is_spike(name), F.col(f"{name}_low")).alias(f"_zone_{name}") for name in ZONES]
+    return found.select("_source", *zones, F.when(dense, F.col("wide_low")).alias("_zone_dense"))
 
 
 def markers(at_limit: DataFrame, least: int = 5, share: float = 0.5) -> DataFrame:
@@ -97,7 +104,8 @@ def truncated(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> D
 
     ``cut`` is ``limit`` for a text whose length (in characters or bytes) lies
     in a spike at its source's maximum and that ends in no sentence mark or
-    closing of its kind, or in a mark of omission; ``transfer`` for any other
+    closing of its kind, or in a mark of omission; that it looks like a title
+    does not count there.  ``transfer`` is for any other
     text that ends within a word, a sentence or an open tag; else null.  Marks
     of omission are the usual ones and, for each source, the one that most of
     its texts at the limit end in.  Null, empty and blank texts are never cut
@@ -113,12 +121,14 @@ def truncated(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> D
     rows = _with_source(rows, spikes(rows))
     at = lambda name, measure: F.coalesce(F.col(f"_{measure}") >= F.col(f"_zone_{name}"), F.lit(False))
     at_limit, in_wide = at("exact", "chars") | at("bytes", "bytes"), at("wide", "chars")
+    stands_out = at_limit | at("dense", "chars")
     rows = _with_source(rows, markers(rows.where(F.col("_filled") & (at_limit | in_wide))))
     omitted = F.col("_marker") | F.coalesce(F.col("_tail") == F.col("_marker_tail"), F.lit(False))
     cut = (
         F.when(~F.col("_filled"), F.lit(None))
         .when(at_limit & (omitted | F.col("_dots") | ~F.col("_closed")), "limit")
         .when(in_wide & (omitted | ~(F.col("_closed") | F.col("_dots"))), "limit")
+        .when(stands_out & ~(F.col("_ended") | F.col("_dots")), "limit")
         .when(omitted | ~(F.col("_closed") | F.col("_dots")), "transfer")
     )
     return rows.select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), F.col("_filled").alias("filled"), cut.alias("cut"))

@@ -221,3 +221,27 @@ def test_truncation(spark):
 def test_no_spike_without_a_limit(spark):
     df = spark.createDataFrame([(i, "Ab cd ef." * (i + 1), "s") for i in range(40)], "doc_id bigint, text string, source string")
     assert truncation.spikes(truncation.measured(df, "doc_id", "text", "source")).where(F.coalesce("_zone_exact", "_zone_wide", "_zone_bytes").isNotNull()).count() == 0
+
+
+def test_titles_cut_at_a_limit(spark):
+    """A title or a text without letter case that ends at its source's limit is cut; short complete titles are not."""
+    rng = random.Random(4)
+    words = lambda most=16: " ".join(rng.choice(["Green", "House", "Of", "Winter", "Lakes", "In", "Morning"]) for _ in range(rng.randint(2, most)))
+    rows, truth = [], set()
+    for _ in range(90):
+        for text, source, limit in ((words(), "titles", 60), ("日本の古い町を歩く旅" * rng.randint(1, 9), "ja", 45)):
+            if len(text) > limit:
+                truth.add(len(rows))
+            rows.append((len(rows), text[:limit].rstrip(), source))
+    for _ in range(90):
+        text = words(30)
+        at = text[:61].rfind(" ") if len(text) > 60 else len(text)
+        if len(text) > 60:
+            truth.add(len(rows))
+        rows.append((len(rows), text[:at], "whole words"))
+    rows += [(1000 + i, words(8), "complete") for i in range(75)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    found = {r.doc_id for r in truncation.truncated(df, "doc_id", "text", "source").where("cut is not null").collect()}
+    assert truth <= found
+    sources = {i: (s, len(t)) for i, t, s in rows}
+    assert all(sources[i][0] != "complete" for i in found), [sources[i] for i in found - truth][:9]
