@@ -20,7 +20,7 @@ class SketchShape:
     """
 
     bits: tuple[int, ...] = (8, 16, 24, 32, 40)
-    depth: int = 5
+    depth: int = 9
     width: int = 4096
 
     def cells(self) -> int:
@@ -32,7 +32,7 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 
 def _cell_and_sign(prefix: np.ndarray, level: int, row: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket and sign of each prefix in one row of one level."""
-    x = (prefix + np.uint64(level * 131 + 1)) * _ODD[row % len(_ODD)]
+    x = (prefix + np.uint64(level * 131 + 1 + row // len(_ODD) * 65537)) * _ODD[row % len(_ODD)]
     x ^= x >> np.uint64(29)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(32)
@@ -96,8 +96,9 @@ def descend(counts: np.ndarray, least: float, shape: SketchShape) -> dict[int, i
 
     At each level only the children of heavy prefixes are looked at.  A level's
     estimates are off by about sqrt(F2 / width), with F2 the sum of squared
-    counts, so ``least`` is lowered by four times that; no truly heavy prefix
-    is lost but with vanishing probability.
+    counts, so ``least`` is lowered by four times that, but at most to its
+    half.  Where the half is what counts, many values are heavy, and one is
+    lost if in most rows it meets another of about its size and opposite sign.
     """
     heavy = np.zeros(1, np.uint64)
     before = 0
