@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from phraseloom.llm import packing, tokenizers, truncation
-from phraseloom.llm.queries_docs import FILES, vocabulary_path
+from phraseloom.llm.queries_docs import FILES, p8_assign, vocabulary_path
 
 TEXTS = [
     None, "", " ", "\n", "a", "  two  blanks ", "tabs\t\tand\r\nreturns;\r\n\r\nend", "He's   here — isn't he? ", "日本語のテキスト。次の文", "x" * 9000, ("word, " * 3000) + "end.",
@@ -245,3 +245,10 @@ def test_titles_cut_at_a_limit(spark):
     assert truth <= found
     sources = {i: (s, len(t)) for i, t, s in rows}
     assert all(sources[i][0] != "complete" for i in found), [sources[i] for i in found - truth][:9]
+
+
+def test_every_kind_of_container_is_packed(spark, paths, tmp_path):
+    spark.createDataFrame([(1, "some words")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    kinds = [(f"k{i:03}", "byte_bpe_50k", 64) for i in range(103)]
+    spark.createDataFrame(kinds, "pack_kind string, tokenizer string, capacity int").write.parquet(f"{tmp_path}/pack_sizes.parquet")
+    assert sorted(r.pack_kind for r in p8_assign(spark, str(tmp_path)).collect()) == [k[0] for k in kinds]
