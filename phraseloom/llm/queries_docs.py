@@ -72,27 +72,54 @@ def p9_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _B = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}\x{1C}-\x{1F}]"
 _CLOSE = "[\"''”’»«)\\]}*_]*"
-_SENTENCE = f"""regexp_matches(last, '[.!?。！？؟।]{_CLOSE}$') AND NOT regexp_matches(last, '(^|\\s)\\d+\\.$') AND NOT regexp_matches(last, 'https?://[^/\\s]*\\.$')"""
-_OTHER = """regexp_matches(last, '[)\\]}>”»]$') AND NOT marker OR regexp_matches(last, '[\\p{So}\\p{Sk}\\x{FE0F}\\x{200D}]$')
-  OR regexp_matches(last, '^[—–-]{1,2} ?\\p{Lu}[\\p{L}''’.-]*( \\p{Lu}[\\p{L}''’.-]*)+$') OR regexp_matches(last, '^(#[\\p{L}\\p{N}_]+\\s*)+$')
-  OR regexp_matches(last, 'https?://\\S+/\\d+$')
-  OR (NOT contains(e, chr(10)) AND NOT regexp_matches(e, '[.!?。！？…:\\[\\]]') AND length(e) <= 120 AND NOT regexp_matches(e, '(^|\\s)\\p{Ll}[\\p{L}''’-]{4,}'))"""
+_ENDED = f"""regexp_matches(last, '[.!?。！？؟।]{_CLOSE}$') AND NOT regexp_matches(last, '(^|\\s)\\d+\\.$') AND NOT regexp_matches(last, 'https?://[^/\\s]*\\.$')
+  OR regexp_matches(last, '[)\\]}}>”»]$') AND NOT marker OR regexp_matches(last, '([\\p{{So}}\\p{{Sk}}\\x{{FE0F}}\\x{{200D}}]|\\s([:;=][''-]?[()DPpO3]|<3|\\^_?\\^))$')
+  OR regexp_matches(last, '^[—–-]{{1,2}} ?\\p{{Lu}}[\\p{{L}}''’.-]*( \\p{{Lu}}[\\p{{L}}''’.-]*)+$') OR regexp_matches(last, '^(#[\\p{{L}}\\p{{N}}_]+\\s*)+$')
+  OR regexp_matches(last, '^\\s*([*#~=_–—-]\\s*){{3,}}$') OR regexp_matches(last, 'https?://\\S+/\\d+$') OR e = ''"""
+_TITLED = """regexp_matches(e, '^[^\\n.!?。！？…:\\[\\]、]+$') AND regexp_matches(e, '^[\\p{Lu}\\p{Lo}\\p{N}"''“‘«]') AND NOT regexp_matches(e, '(^|\\s)\\p{Ll}[\\p{L}''’-]{4,}')"""
+
+
+def _around(lo: str, hi: str) -> str:
+    return f"coalesce(sum(n) OVER (PARTITION BY source, measure ORDER BY length RANGE BETWEEN {lo} AND {hi}), 0)"
+
+
+def _hits() -> str:
+    """The three kinds of zones as rows, each length of a histogram tested against its neighbourhood."""
+    test, found = truncation.Spike(), []
+    for z in truncation.ZONES:
+        words = z.name == "words"
+        own, width, least = (_around(f"{z.under} PRECEDING", "CURRENT ROW"), z.under + 1, 0.5) if words else ("n", 1, 0.5 / z.below)
+        start = z.under + z.gap
+        under = f"{_around(f'{start + z.below} PRECEDING', f'{start + 1} PRECEDING')} / greatest(least(length - {start}, {z.below}), 1)"
+        over = f"{_around(f'{z.over + z.gap + 1} FOLLOWING', f'{z.over + z.gap + z.above} FOLLOWING')} / {z.above}"
+        rest = f"sum(n) OVER (PARTITION BY source, measure) - {_around('UNBOUNDED PRECEDING', f'{z.over} FOLLOWING')}"
+        edge = f"AND edge >= {test.edge} * own AND past <= {test.past} * edge" if words else ""
+        found.append(f"""SELECT source, measure, '{z.name}' AS name, length - {z.under} AS lo, length + {z.over} AS hi, top FROM (
+  SELECT *, beyond <= {test.beyond} * total AS top FROM (SELECT source, measure, length, {own} AS own, greatest({under}, {over}) * {width} + {least} AS ex, {rest} AS beyond,
+    sum(n) OVER (PARTITION BY source, measure) AS total, {_around('3 PRECEDING', 'CURRENT ROW')} AS edge, {_around('1 FOLLOWING', '4 FOLLOWING')} AS past FROM hist WHERE measure = '{z.measure}'))
+  WHERE own >= {test.least} AND own >= {test.times} * ex AND own * ln(own / ex) - (own - ex) >= CASE WHEN top THEN {test.top_deviance} ELSE {test.deviance} END {edge}""")
+    return "\nUNION ALL ".join(found)
+
+
+_SAME = "IS NOT DISTINCT FROM"
 _CUTS = f"""
 WITH a AS (SELECT doc_id, source, text, coalesce(NOT regexp_full_match(text, '{_B}*'), false) AS filled, length(text) AS chars, strlen(text) AS bytes, regexp_replace(text, '{_B}+$', '') AS e FROM documents),
-b AS (SELECT *, regexp_extract(e, '[^\n]*$') AS last, regexp_extract(text, '^\\s*<([A-Za-z][A-Za-z0-9]*)[^<>]*>', 1) AS tag, right(e, 3) AS tail FROM a),
+b AS (SELECT *, regexp_extract(e, '[^\n]*$') AS last, regexp_extract(text, '^\\s*<([A-Za-z][A-Za-z0-9]*)[^<>]*>', 1) AS tag, right(regexp_replace(right(e, {3 * truncation.TAIL}), '\\p{{Nd}}+', '0', 'g'), {truncation.TAIL}) AS tail FROM a),
 c AS (SELECT *, regexp_matches(last, '(\\[\\s*(\\.\\.\\.|…)\\s*\\]|\\x{{FFFD}})$') AS marker, regexp_matches(last, '…{_CLOSE}$') AS dots, coalesce(tag <> '' AND NOT ends_with(e, '</' || tag || '>'), false) AS open FROM b),
-d AS (SELECT *, ({_SENTENCE} OR {_OTHER}) AND NOT open AS closed FROM c),
-x AS (SELECT source, max(chars) AS mc, max(bytes) AS mb FROM d WHERE filled GROUP BY source),
-y AS (SELECT x.source, mc, mb, count(*) FILTER (WHERE mc - chars <= 1) AS e1, count(*) FILTER (WHERE mc - chars BETWEEN 2 AND 25) AS e2, count(*) FILTER (WHERE mc - chars <= 16) AS w1,
-  count(*) FILTER (WHERE mc - chars BETWEEN 17 AND 220) AS w2, count(*) FILTER (WHERE mb - bytes <= 5) AS b1, count(*) FILTER (WHERE mb - bytes BETWEEN 6 AND 77) AS b2
-  FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source WHERE filled GROUP BY ALL),
-z AS (SELECT source, CASE WHEN e1 >= 3 AND e1 * 4 >= e2 THEN mc - 1 END AS ze, CASE WHEN w1 >= 3 AND w1 * 4 >= w2 THEN mc - 16 END AS zw, CASE WHEN b1 >= 3 AND b1 * 4 >= b2 THEN mb - 5 END AS zb FROM y),
-f AS (SELECT d.*, coalesce(chars >= ze, false) OR coalesce(bytes >= zb, false) AS at_limit, coalesce(chars >= zw, false) AS wide FROM d LEFT JOIN z ON d.source IS NOT DISTINCT FROM z.source),
-g AS (SELECT source, tail, count(*) AS n FROM f WHERE filled AND (at_limit OR wide) GROUP BY ALL),
-h AS (SELECT source, sum(n) AS al, max(n) AS mo, arg_max(tail, n) AS mt FROM g GROUP BY source),
-i AS (SELECT f.*, marker OR coalesce(tail = mt AND mo >= 5 AND mo * 2 >= al, false) AS omitted FROM f LEFT JOIN h ON f.source IS NOT DISTINCT FROM h.source),
-cuts AS (SELECT doc_id, source, filled, CASE WHEN NOT filled THEN NULL WHEN at_limit AND (omitted OR dots OR NOT closed) THEN 'limit' WHEN wide AND (omitted OR NOT (closed OR dots)) THEN 'limit'
-  WHEN omitted OR NOT (closed OR dots) THEN 'transfer' END AS cut FROM i)
+d AS (SELECT *, ({_ENDED}) AND NOT open AS ended, {_TITLED} AND NOT open AS titled FROM c),
+hist AS (SELECT source, measure, length, count(*) AS n
+  FROM (SELECT source, 'chars' AS measure, chars AS length FROM d WHERE filled UNION ALL SELECT source, 'bytes', bytes FROM d WHERE filled) GROUP BY ALL),
+zones AS ({_hits()}),
+f AS (SELECT d.*, EXISTS (SELECT 1 FROM zones z WHERE z.source {_SAME} d.source AND CASE z.measure WHEN 'chars' THEN chars ELSE bytes END BETWEEN lo AND hi) AS zoned,
+  EXISTS (SELECT 1 FROM zones z WHERE z.source {_SAME} d.source AND CASE z.measure WHEN 'chars' THEN chars ELSE bytes END BETWEEN lo AND hi AND top) AS topmost,
+  EXISTS (SELECT 1 FROM zones z WHERE z.source {_SAME} d.source AND CASE z.measure WHEN 'chars' THEN chars ELSE bytes END BETWEEN lo AND hi AND top AND name <> 'words') AS there FROM d),
+sizes AS (SELECT source, count(*) FILTER (WHERE zoned) AS inside, count(*) FILTER (WHERE NOT zoned) AS outside FROM f WHERE filled GROUP BY source),
+m AS (SELECT source, ending, count(*) FILTER (WHERE zoned) AS n, count(*) FILTER (WHERE NOT zoned) AS others
+  FROM (SELECT source, zoned, unnest(list_distinct(list_transform(range(1, 9), lambda k: right(tail, k)))) AS ending FROM f WHERE filled) WHERE ending <> '' GROUP BY ALL),
+g AS (SELECT m.* FROM m JOIN sizes s ON m.source {_SAME} s.source WHERE n >= 4 AND n >= 0.3 * inside AND n / inside >= 4 * (others + 1) / (outside + 2)),
+marks AS (SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM g h WHERE h.source {_SAME} g.source AND length(h.ending) > length(g.ending) AND ends_with(h.ending, g.ending) AND h.n >= 0.9 * g.n)),
+h AS (SELECT f.*, EXISTS (SELECT 1 FROM marks WHERE marks.source {_SAME} f.source AND ends_with(tail, ending)) AS learned, NOT (ended OR dots) AND (topmost OR NOT titled) AS unended FROM f),
+cuts AS (SELECT doc_id, source, filled, CASE WHEN NOT filled THEN NULL WHEN zoned AND (learned OR marker OR unended OR (there AND dots)) THEN 'limit' WHEN marker OR unended THEN 'transfer' END AS cut FROM h)
 """
 P9_CUTS_SQL = _CUTS + "SELECT * FROM cuts"
 P9_SQL = _CUTS + "SELECT doc_id FROM cuts WHERE cut IS NOT NULL"

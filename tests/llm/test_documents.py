@@ -219,8 +219,47 @@ def test_truncation(spark):
 
 
 def test_no_spike_without_a_limit(spark):
-    df = spark.createDataFrame([(i, "Ab cd ef." * (i + 1), "s") for i in range(40)], "doc_id bigint, text string, source string")
-    assert truncation.spikes(truncation.measured(df, "doc_id", "text", "source")).where(F.coalesce("_zone_exact", "_zone_wide", "_zone_bytes").isNotNull()).count() == 0
+    rows = [(i, "Ab cd ef." * (i + 1), "s") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    assert truncation.limits(truncation.measured(df, "doc_id", "text", "source")).count() == 0
+    assert truncation.truncated(df, "doc_id", "text", "source").where("cut is not null").count() == 0
+
+
+def test_truncation_with_longer_texts_and_two_limits(spark):
+    """Longer texts hide no limit; a source may have two; marks of omission and their numbers need not be known."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdeiou") for _ in range(rng.randint(2, 9)))
+    rows, truth = [], set()
+
+    def add(text, source, is_cut):
+        if is_cut:
+            truth.add(len(rows))
+        rows.append((len(rows), text, source))
+
+    for i in range(400):
+        full = ""
+        while len(full) < rng.randint(40, 1500):
+            full += (" " if full else "") + " ".join(word() for _ in range(rng.randint(4, 9))).capitalize() + rng.choice([".", ".", ".", ".", "!", "?", ".", ".", "..."])
+        late = i % 25 == 0  # loaded before or after the limit held
+        for source, limit, mark in (("more", 300, lambda: " (more)"), ("count", 420, lambda: f" [+{rng.randint(5, 999)}]"), ("dots", 350, lambda: "..."), ("sign", 500, lambda: " »"), ("stop", 350, lambda: " Read on.")):
+            m = mark()
+            cut = len(full) > limit and not late
+            add(full[: limit - len(m)].rstrip() + m if cut else full, source, cut)
+        limit = 250 if i % 2 else 700
+        cut = len(full) > limit and not late
+        add(full[:limit] if cut else full, "two", cut and full[:limit].rstrip()[-1] not in ".!?")
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    found = {r.doc_id: r.cut for r in truncation.truncated(df, "doc_id", "text", "source").where("cut is not null").collect()}
+    assert truth <= set(found), [rows[i][1:] for i in list(truth - set(found))[:5]]
+    assert len(set(found) - truth) <= 0.01 * len(truth)
+    assert sum(found[i] == "limit" for i in truth) >= 0.97 * len(truth)
+
+
+def test_small_sources_and_odd_columns(spark):
+    rows = [(i, None, None, 0, "a") for i in range(3)] + [(10 + i, "Done.", "a", 1, "b") for i in range(20)] + [(40, "x" * 100_000 + ".", "a", 1, "c"), (40, "x" * 100_000 + ".", "a", 1, "c")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n int, _limits string")
+    got = truncation.truncated(df, "doc_id", "text", "source")
+    assert got.count() == len(rows) and got.where("cut is not null").count() == 0
 
 
 def test_titles_cut_at_a_limit(spark):
