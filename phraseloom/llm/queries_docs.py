@@ -113,9 +113,9 @@ zones AS ({_hits()}),
 f AS (SELECT d.*, EXISTS (SELECT 1 FROM zones z WHERE z.source {_SAME} d.source AND CASE z.measure WHEN 'chars' THEN chars ELSE bytes END BETWEEN lo AND hi) AS zoned,
   EXISTS (SELECT 1 FROM zones z WHERE z.source {_SAME} d.source AND CASE z.measure WHEN 'chars' THEN chars ELSE bytes END BETWEEN lo AND hi AND top) AS topmost,
   EXISTS (SELECT 1 FROM zones z WHERE z.source {_SAME} d.source AND CASE z.measure WHEN 'chars' THEN chars ELSE bytes END BETWEEN lo AND hi AND top AND name <> 'words') AS there FROM d),
-sizes AS (SELECT source, count(*) FILTER (WHERE zoned) AS inside, count(*) FILTER (WHERE NOT zoned) AS outside FROM f WHERE filled GROUP BY source),
-m AS (SELECT source, ending, count(*) FILTER (WHERE zoned) AS n, count(*) FILTER (WHERE NOT zoned) AS others
-  FROM (SELECT source, zoned, unnest(list_distinct(list_transform(range(1, 9), lambda k: right(tail, k)))) AS ending FROM f WHERE filled) WHERE ending <> '' GROUP BY ALL),
+sizes AS (SELECT source, count(DISTINCT text) FILTER (WHERE zoned) AS inside, count(*) FILTER (WHERE NOT zoned) AS outside FROM f WHERE filled GROUP BY source),
+m AS (SELECT source, ending, count(DISTINCT text) FILTER (WHERE zoned) AS n, count(*) FILTER (WHERE NOT zoned) AS others
+  FROM (SELECT source, text, zoned, unnest(list_distinct(list_transform(range(1, 9), lambda k: right(tail, k)))) AS ending FROM f WHERE filled) WHERE ending <> '' GROUP BY ALL),
 g AS (SELECT m.* FROM m JOIN sizes s ON m.source {_SAME} s.source WHERE n >= 4 AND n >= 0.3 * inside AND n / inside >= 4 * (others + 1) / (outside + 2)),
 marks AS (SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM g h WHERE h.source {_SAME} g.source AND length(h.ending) > length(g.ending) AND ends_with(h.ending, g.ending) AND h.n >= 0.9 * g.n)),
 h AS (SELECT f.*, EXISTS (SELECT 1 FROM marks WHERE marks.source {_SAME} f.source AND ends_with(tail, ending)) AS learned, NOT (ended OR dots) AND (topmost OR NOT titled) AS unended FROM f),

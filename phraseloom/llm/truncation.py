@@ -83,7 +83,7 @@ def ending_columns(text: Column) -> dict[str, Column]:
 
 
 def measured(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(id, source, chars, bytes, tail, and what the end says) for every row; narrow, so texts are not shuffled."""
+    """(id, source, chars, bytes, hash, tail, and what the end says) for every row; narrow, so texts are not shuffled."""
     text = F.col(text_col)
     end = F.right(F.regexp_replace(text, _BLANK + "+$", ""), F.lit(3 * TAIL))
     return docs.select(
@@ -92,6 +92,7 @@ def measured(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Da
         F.coalesce(~text.rlike("^" + _BLANK + "*$"), F.lit(False)).alias("_filled"),
         F.length(text).alias("_chars"),
         F.octet_length(text).alias("_bytes"),
+        F.xxhash64(text).alias("_hash"),
         F.right(F.regexp_replace(end, "\\p{Nd}+", "0"), F.lit(TAIL)).alias("_tail"),  # numbers in a mark of omission differ
         *[m.alias("_" + name) for name, m in ending_columns(text).items()],
     )
@@ -157,19 +158,22 @@ def marks(rows: DataFrame, least: int = 4, share: float = 0.3, times: float = 4.
 
     An ending of up to ``longest`` characters is a mark if at least ``least``
     texts and the given share of a source's texts at its limits have it, and
-    that share is ``times`` as large as among the source's other texts.  Of
-    endings that the same texts have only the longest counts.  Candidates are
+    that share is ``times`` as large as among the source's other texts.  Copies
+    of one text at a limit count once.  Of endings that the same texts have
+    only the longest counts.  Candidates are
     counted among the texts at limits only, so at most ``longest / share`` of
     them per source are then looked for among the rest.
     """
     filled = rows.where("_filled")
-    endings = filled.where("_zoned").select("_source", F.explode(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda k: F.right("_tail", k))).alias("ending"))
+    zoned, rest = filled.where("_zoned").dropDuplicates(["_source", "_hash"]), filled.where("not _zoned")
+    endings = zoned.select("_source", F.explode(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda k: F.right("_tail", k))).alias("ending"))
     counts = endings.where(F.length("ending") > 0).groupBy("_source", "ending").agg(F.count("*").alias("n"))
-    sizes = filled.groupBy("_source").agg(F.count_if("_zoned").alias("_in"), F.count_if(~F.col("_zoned")).alias("_out"))
+    sizes = zoned.groupBy("_source").agg(F.count("*").alias("_in"))
+    sizes = _with_source(sizes, rest.groupBy("_source").agg(F.count("*").alias("_out"))).fillna({"_out": 0})
     often = _with_source(counts.where(F.col("n") >= least), sizes).where(F.col("n") >= F.lit(share) * F.col("_in"))
     candidates = often.groupBy("_source", "_in", "_out").agg(F.collect_list(F.struct("ending", "n")).alias("_c"))
     elsewhere = (
-        _with_source(filled.where(~F.col("_zoned")).select("_source", "_tail"), candidates.select("_source", "_c"))
+        _with_source(rest.select("_source", "_tail"), candidates.select("_source", "_c"))
         .select("_source", F.explode(F.filter("_c", lambda c: F.endswith("_tail", c["ending"]))).alias("_e"))
         .groupBy("_source", F.col("_e.ending").alias("ending"))
         .agg(F.count("*").alias("n"))
