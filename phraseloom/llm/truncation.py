@@ -166,7 +166,7 @@ def marks(rows: DataFrame, least: int = 4, share: float = 0.3, times: float = 4.
     """
     filled = rows.where("_filled")
     zoned, rest = filled.where("_zoned").dropDuplicates(["_source", "_hash"]), filled.where("not _zoned")
-    endings = zoned.select("_source", F.explode(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda k: F.right("_tail", k))).alias("ending"))
+    endings = zoned.select("_source", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda k: F.right("_tail", k)))).alias("ending"))
     counts = endings.where(F.length("ending") > 0).groupBy("_source", "ending").agg(F.count("*").alias("n"))
     sizes = zoned.groupBy("_source").agg(F.count("*").alias("_in"))
     sizes = _with_source(sizes, rest.groupBy("_source").agg(F.count("*").alias("_out"))).fillna({"_out": 0})
