@@ -2,23 +2,43 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``.  Only where that is
-    unset (local tests) a temporary folder of this machine is taken.
+    Only where that is unset (local tests) a temporary folder of this machine
+    is taken, which is removed at the end; on a cluster that is an error.
     """
-    spark = df.sparkSession
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        master = spark.sparkContext.master
-        if shared is None and (not master.startswith("local") or master.startswith("local-cluster")):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="phraseloom-ckpt-"))
+    found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if found.isDefined():
+        return found.get()
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if shared is None and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if shared is None:
+        shared = tempfile.mkdtemp(prefix="phraseloom-ckpt-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(shared)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of ``df`` in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, removed when the driver ends."""
+    path = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path

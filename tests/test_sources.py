@@ -205,6 +205,27 @@ def test_nested_tables_on_disk(spark, tmp_path):
     assert nested.read_table(spark, str(tmp_path / "t"), "row", "value string", 2).count() == 2
 
 
+def test_nested_loses_nothing(spark):
+    """Arrays in structs, arrays without a table, the record's own row; unknown paths are an error."""
+    kind = "id int, root_id string, senses array<struct<in:struct<xs:array<int>,n:int>,tags:array<string>,w:string>>, other array<string>"
+    df = spark.createDataFrame([(7, "r", [(([1, None, 3], 5), ["t"], "a"), (None, None, None)], ["o"])], kind)
+    tagged = nested.emit_tagged(df, "id", {"senses": "sense", "senses.in.xs": "x"}, root_tag="record")
+    got = {(r.tag, tuple(r.positions)): (r.parent_tag, json.loads(r.payload)) for r in tagged.collect()}
+    assert got == {
+        ("record", ()): (None, {"id": 7, "root_id": "r", "other": ["o"]}),
+        ("sense", (0,)): ("record", {"in": {"n": 5}, "tags": ["t"], "w": "a"}),
+        ("sense", (1,)): ("record", {"in": None, "tags": None, "w": None}),
+        ("x", (0, 0)): ("sense", {"value": 1}),
+        ("x", (0, 2)): ("sense", {"value": 3}),
+    }
+    with pytest.raises(ValueError, match="senses.no"):
+        nested.emit_tagged(df, "id", {"senses.no": "x"})
+    with pytest.raises(ValueError, match="senses.in"):
+        nested.emit_tagged(df, "id", {"senses.in": "x"})
+    twice = nested.distinct_records(df.unionByName(df), "id", ["senses"])
+    assert nested.emit_tagged(twice, "id", {"senses.tags": "t"}).count() == 1
+
+
 REQUESTS = "request_id string, results array<struct<result:string,error:string>>"
 
 
