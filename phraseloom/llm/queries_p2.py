@@ -16,17 +16,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each record once, by its first line, with its number of copies."""
-    lines = table(spark, sf_dir, "raw_lines")
-    marked = formatting.fingerprint_rows(lines, "line_no", "raw_text").select(F.col("_id").alias("line_no"))
-    found = formatting.copies(lines, "line_no", "raw_text")
-    counts = found.groupBy("first_id").agg(F.count("*").alias("copies"))
-    later = found.where("id <> first_id").select(F.col("id").alias("line_no"))
-    return (
-        marked.join(later, "line_no", "left_anti")
-        .join(counts.withColumnRenamed("first_id", "line_no"), "line_no", "left")
-        .select("line_no", F.coalesce("copies", F.lit(1)).alias("copies"))
-    )
-
+    return formatting.distinct_records(table(spark, sf_dir, "raw_lines"), "line_no", "raw_text")
 
 
 def _squeeze(x: str) -> str:

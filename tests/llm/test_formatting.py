@@ -5,6 +5,8 @@ import random
 import string
 import unicodedata
 
+import pytest
+
 from phraseloom.llm import formatting as M
 
 
@@ -107,7 +109,31 @@ def test_colliding_fingerprints_are_told_apart(spark, monkeypatch):
 
 
 def test_deep_nesting(spark):
+    """How deep a record is nested is no bound, neither for fingerprints nor for comparison."""
     deep = lambda n, x="[": '{"a": ' + x * n + "]" * n + "}"
-    texts = [deep(800), deep(800, "[ "), deep(801), deep(200_000), deep(200_000)]
+    texts = [deep(800), deep(800, "[ "), deep(801), deep(60_000), deep(60_000, " ["), deep(60_000)[:-2]]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i bigint, t string")
-    assert {(r.first_id, r.id) for r in M.copies(df, "i", "t").collect()} == {(0, 0), (0, 1)}
+    assert {(r.first_id, r.id) for r in M.copies(df, "i", "t").collect()} == {(0, 0), (0, 1), (3, 3), (3, 4)}
+
+
+def test_parsing_with_an_own_stack():
+    good = ['{"a": [1, {"b": null}, [], {}], "c": "x\\"y"}', "[]", " 1.5 ", '"s"', '{"a": {"a": [[2]]}}']
+    bad = ["", "{", "[1,]", '{"a":}', '{"a" 1}', "[1 2]", "}", "[}", '{"a":1,}', "[NaN]", "1 2", "{1: 2}", '["a" : 1]', "[01]", "\u00a0[]"]
+    assert [M._parse_deep(t) for t in good] == [json.loads(t) for t in good]
+    for t in bad:
+        with pytest.raises(ValueError):
+            M._parse_deep(t)
+
+
+def test_repeated_keys_escapes_and_lone_surrogates():
+    same = lambda a, b: M.fingerprints([a])[0] == M.fingerprints([b])[0] is not None
+    assert same('{"a": [1, 2], "a": "x"}', '{"a": "X"}') and not same('{"a": 1, "A": 2}', '{"a": 2}')
+    assert same('{"a": 1, "a": null}', "{}") and same('{"o": {"b": 1, "b": {"c": 2}}}', '{"o": {"b": {"c": 2}}}')
+    assert same('{"a": "q\\\\ \\" \\n [1, {"}', '{"a": "q1"}') and same('{"a": "\\u00c9"}', '{"a": "é"}')
+    assert M.fingerprints(['{"a": "\\ud83d"}'])[0] is not None
+    assert same('{"a": -1.50, "b": 1e3}', '{"b": 1000, "a": -1.5}') and not same('{"a": -1}', '{"a": 1}')
+
+
+def test_batches_are_bounded(monkeypatch):
+    monkeypatch.setattr(M, "BATCH_CHARS", 10)
+    assert list(M._slices(["x" * 6, "x" * 4, "x" * 1, "x" * 30, "x"])) == [(0, 2), (2, 3), (3, 4), (4, 5)] and list(M._slices([])) == []
