@@ -1,27 +1,31 @@
 """Text that looks the same but differs in its characters, brought to one form.
 
-The form of a text is NFC(fold(NFD(text))): full-width and half-width forms
-and blanks of any width become the ordinary ones, characters of no width are
-dropped, letters of other scripts that look like a Latin letter become that
-letter, hyphens that look like the ordinary hyphen become it, and accents are
-composed.  Letter case, accents, raised digits and other punctuation stay.
+Full-width and half-width forms, letters in another type face, ligatures and
+blanks of any width become the ordinary ones, characters of no width are
+dropped, hyphens that look like the ordinary hyphen become it, and accents are
+composed.  Letters that look the same in Latin, Cyrillic, Greek and Armenian
+are written in the script of their word: that of most of its letters that only
+one script has, or where it has none, the text's if that has all its shapes.  So a Russian or Greek
+text stays as it is, a Latin letter within one becomes Cyrillic or Greek, and
+the other way round.  Letter case, accents, raised digits and other
+punctuation stay.
 
 Most text is already in that form.  A character that may change, or that may
 combine with the one before it, is unstable (Unicode's quick-check property,
 widened by the folds above); runs of unstable characters are isolated with one
 character of context, only they are normalised, and the results are spliced
-into the unchanged text.
+into the unchanged text.  Words are looked at only in texts that mix scripts.
 """
 
 from __future__ import annotations
 
-import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,17 +34,84 @@ from phraseloom.plans.lineage import cut_lineage
 #: Ranges of characters without width.
 NO_WIDTH = ((0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x180B, 0x180E), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x2064), (0x2066, 0x206F), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF))
 
-#: Letter:look-alike in Latin, after Unicode's confusables.
+#: Letter:look-alike in Latin, after Unicode's confusables; a line each of Cyrillic small, Cyrillic
+#: capital, Greek and Armenian letters, and Latin ones of other shape.
 LOOK_ALIKES = (
     "а:a е:e һ:h і:i ј:j ӏ:l о:o р:p ԛ:q ѕ:s с:c у:y х:x ԁ:d ԝ:w ѵ:v "
     "А:A В:B Е:E Н:H І:I Ј:J К:K М:M О:O Р:P Ԛ:Q Ѕ:S Т:T С:C Ү:Y Х:X Ԝ:W Ѵ:V Ӏ:l "
     "ο:o ϲ:c ϳ:j ν:v Α:A Β:B Ε:E Ζ:Z Η:H Ι:I Κ:K Μ:M Ν:N Ο:O Ρ:P Τ:T Υ:Y Χ:X Ϲ:C Ϳ:J "
-    "օ:o ս:u հ:h ո:n ց:g զ:q Օ:O Ս:U ɡ:g ɑ:a"
+    "օ:o ս:u հ:h ո:n ց:g զ:q Օ:O Ս:U "
+    "ɡ:g ɑ:a"
 )
 
 #: Marks that look like the ordinary hyphen.
 HYPHENS = "‐‑"
 
+#: Code points of the scripts that share shapes with Latin.
+SCRIPTS = {"cyrillic": ((0x400, 0x52F), (0x1C80, 0x1C8F), (0xA640, 0xA69F)), "greek": ((0x370, 0x3FF), (0x1F00, 0x1FFF)), "armenian": ((0x531, 0x58F),)}
+
+
+#: Latin letters whose shape is an everyday letter of the other scripts.
+EVERYDAY = {"cyrillic": "aceiopxyABCEHIKMOPTX", "greek": "ovABEZHIKMNOPTYX", "armenian": "ouhngqOU"}
+
+
+def _script(c: str) -> str:
+    return next((name for name, ranges in SCRIPTS.items() if any(a <= ord(c) <= b for a, b in ranges)), "latin")
+
+
+@lru_cache(maxsize=1)
+def to_script() -> dict[str, dict[int, str]]:
+    """Script -> how each shared shape is written in it; a shape that it lacks becomes the Latin letter."""
+    twins = [pair.split(":") for pair in LOOK_ALIKES.split()]
+    latin = {ord(a): b for a, b in twins}
+    tables = {"latin": latin}
+    for script in SCRIPTS:
+        own = {b: a for a, b in twins if _script(a) == script}
+        tables[script] = {**{cp: own.get(b, b) for cp, b in latin.items()}, **{ord(b): a for b, a in own.items()}}
+    return tables
+
+
+def _class_of(ranges) -> str:
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
+
+
+@lru_cache(maxsize=1)
+def _patterns() -> dict[str, regex.Pattern]:
+    """Words, letters of the other scripts, and of each script the letters that only it has."""
+    shared = "".join(chr(cp) for cp in to_script()["latin"]) + "".join(sorted(set(to_script()["latin"].values())))
+    found = {name: regex.compile(f"(?V1)[[{_class_of(ranges)}]&&\\p{{L}}--[{shared}]]") for name, ranges in SCRIPTS.items()}
+    found["latin"] = regex.compile(f"(?V1)[\\p{{Latin}}--[{shared}]]")
+    found["word"] = regex.compile(r"[\p{L}\p{M}]+")
+    found["foreign"] = regex.compile("[" + "".join(map(_class_of, SCRIPTS.values())) + "]")
+    return found
+
+
+def _target(text: str) -> str | None:
+    """The script of most letters that only one script has, Latin on ties; None if there are none.  ``text`` is decomposed."""
+    counts = {name: len(_patterns()[name].findall(text)) for name in ("latin", *SCRIPTS)}
+    best = max(counts.values())
+    return next(name for name, n in counts.items() if n == best) if best else None
+
+
+def by_script(text: str) -> str:
+    """``text`` (composed) with the shapes that scripts share written in the script of their word."""
+    if not _patterns()["foreign"].search(text) and not any(c in text for c in "ɡɑ"):
+        return text
+    whole = _target(unicodedata.normalize("NFD", text)) or "latin"
+
+    def word(match: regex.Match) -> str:
+        own = match.group()
+        if own.isascii() and whole == "latin":
+            return own
+        parts = unicodedata.normalize("NFD", own)
+        script = _target(parts)
+        if script is None:  # the text's, if that writes all these shapes
+            shapes = (c for c in parts.translate(to_script()["latin"]) if c.isalpha())
+            script = whole if whole != "latin" and all(c in EVERYDAY[whole] for c in shapes) else "latin"
+        return unicodedata.normalize("NFC", parts.translate(to_script()[script]))
+
+    return _patterns()["word"].sub(word, text)
+
 
 def _assigned() -> Iterator[int]:
     """Code points that may have a form of their own, ascending: no surrogates, private use or empty planes."""
@@ -49,7 +120,7 @@ def _assigned() -> Iterator[int]:
 
 @lru_cache(maxsize=1)
 def folds() -> dict[int, str]:
-    """Code point (of a decomposed text) -> what it looks like; the empty string drops it."""
+    """Code point (of a decomposed text) -> what it looks like in any text; the empty string drops it."""
     table: dict[int, str] = {}
     for cp in _assigned():
         c = chr(cp)
@@ -57,34 +128,37 @@ def folds() -> dict[int, str]:
             table[cp] = " "
             continue
         how = unicodedata.decomposition(c)
-        if how.startswith(("<wide>", "<narrow>")):
+        if how.startswith(("<wide>", "<narrow>")) or (how.startswith("<font>") and cp >= 0x1D400) or 0xFB00 <= cp <= 0xFB06:
             table[cp] = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", c))
     for first, last in NO_WIDTH:
         table.update({cp: "" for cp in range(first, last + 1)})
     table.update({ord(h): "-" for h in HYPHENS})
-    table.update({ord(a): b for a, b in (pair.split(":") for pair in LOOK_ALIKES.split())})
     return table
 
 
+def _local_form(text: str) -> str:
+    """The form but for letters that scripts share; what changes depends on neighbours only."""
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(folds()))
+
+
 def whole_form(text: str) -> str:
     """The form computed over the whole text at once (the definition that the splicing must equal)."""
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(folds()))
+    return by_script(_local_form(text))
 
 
-@lru_cache(maxsize=1)
-def unstable_ranges() -> tuple[tuple[int, int], ...]:
-    """Ranges of code points that may change or combine with the one before."""
+def _ranges(form) -> tuple[tuple[int, int], ...]:
+    """Ranges of code points that ``form`` changes or that may combine with the one before."""
     maybe = set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3))  # vowels and finals of Hangul
     for cp in _assigned():
         parts = unicodedata.decomposition(chr(cp)).split()
         if len(parts) == 2 and parts[0][0] != "<":
             maybe.add(int(parts[1], 16))
-    found = []
+    found: list[list[int]] = []
     for cp in _assigned():
         if cp < 0x80:
             continue
         c = chr(cp)
-        if cp in maybe or unicodedata.combining(c) or whole_form(c) != c:
+        if cp in maybe or unicodedata.combining(c) or form(c) != c:
             if found and found[-1][1] == cp - 1:
                 found[-1][1] = cp
             else:
@@ -92,29 +166,57 @@ def unstable_ranges() -> tuple[tuple[int, int], ...]:
     return tuple((a, b) for a, b in found)
 
 
-def _python_class() -> str:
-    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in unstable_ranges())
+@lru_cache(maxsize=1)
+def unstable_ranges() -> tuple[tuple[int, int], ...]:
+    """Ranges of code points that may change, alone, or combine with the one before."""
+    return _ranges(whole_form)
+
+
+@lru_cache(maxsize=1)
+def _local_ranges() -> tuple[tuple[int, int], ...]:
+    return _ranges(_local_form)
+
+
+def _java_class(ranges) -> str:
+    """Ranges as a character class for the JVM's regular expressions."""
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
 
 
 def java_class() -> str:
-    """The unstable characters as a character class for the JVM's regular expressions."""
-    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in unstable_ranges()) + "]"
+    """The characters that are unstable in any text as a character class for the JVM's regular expressions."""
+    return _java_class(_local_ranges())
 
 
 @lru_cache(maxsize=1)
-def _segments() -> re.Pattern:
+def _segments() -> regex.Pattern:
     # the character before a run is its context: a mark may combine with it
-    return re.compile(f"[^{_python_class()}]?[{_python_class()}]+", re.S)
+    inside = _class_of(_local_ranges())
+    return regex.compile(f"[^{inside}]?[{inside}]+", regex.S)
 
 
 def canonical(text: str) -> str:
-    """The form of ``text``, normalising unstable segments only."""
-    return _segments().sub(lambda m: whole_form(m.group()), text)
+    """The form of ``text``, normalising unstable segments only, then the words of a text that mixes scripts."""
+    return by_script(_segments().sub(lambda m: _local_form(m.group()), text))
+
+
+@lru_cache(maxsize=1)
+def _own_letters() -> tuple[tuple[int, int], ...]:
+    """Letters of the other scripts that, with or without accents, no other script has."""
+    kept = lambda c: c.isalpha() and any(_patterns()[s].match(unicodedata.normalize("NFD", c)[0]) for s in SCRIPTS)
+    return tuple((cp, cp) for ranges in SCRIPTS.values() for a, b in ranges for cp in range(a, b + 1) if kept(chr(cp)))
 
 
 def unstable(text: Column) -> Column:
-    """Whether a text has an unstable character.  ASCII text, told by its length in bytes, is never searched."""
-    return (F.octet_length(text) > F.length(text)) & text.rlike(java_class())
+    """Whether a text may have another form.
+
+    ASCII text, told by its length in bytes, is never searched.  A text wholly
+    in one of the other scripts, with a letter of its own, is stable.
+    """
+    scripts = [text.rlike(_java_class(ranges)) for ranges in SCRIPTS.values()]
+    several = (scripts[0] & scripts[1]) | (scripts[0] & scripts[2]) | (scripts[1] & scripts[2])
+    foreign = scripts[0] | scripts[1] | scripts[2]
+    mixed = foreign & (text.rlike("\\p{IsLatin}") | several | ~text.rlike(_java_class(_own_letters())))
+    return (F.octet_length(text) > F.length(text)) & (text.rlike(java_class()) | mixed | text.rlike("[ɡɑ]"))
 
 
 def with_form(rows: DataFrame, text_col: str, form_col: str = "form") -> DataFrame:
@@ -143,31 +245,59 @@ def unstable_rows(rows: DataFrame, text_col: str, form_col: str = "form") -> Dat
     return rows.where(unstable(F.col(text_col))).mapInArrow(run, schema)
 
 
-def look_alike_pairs(rows: DataFrame, key: str, text_col: str) -> DataFrame:
-    """(key_a, key_b) with key_a < key_b: texts that look the same and are not the same characters.
+def _together(rows: DataFrame, key: str, text_col: str, by: Sequence[str]) -> DataFrame:
+    """(by, key, text, form) of the texts that can look like another: the unstable ones and the stable ones of their forms."""
+    base = rows.select(*by, F.col(key).alias("key"), F.col(text_col).alias("text"))
+    odd = cut_lineage(unstable_rows(base, "text").where(~F.col("form").rlike("^\\s*$")))
+    plain = base.where(F.col("text").isNotNull() & ~unstable(F.col("text")))
+    forms = odd.select(*by, F.col("form").alias("text")).distinct()
+    plain = plain.join(forms, [*by, "text"], "left_semi").withColumn("form", F.col("text"))
+    return odd.unionByName(plain)
+
+
+def _shared(together: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows whose form another text has as well; and the distinct texts of such forms with their numbers of rows."""
+    kept = cut_lineage(together.withColumn("_f", F.xxhash64(*by, "form")))
+    texts = kept.groupBy("_f", *by, "form", "text").agg(F.count("*").alias("_n"))
+    several = texts.groupBy("_f", *by, "form").agg(F.count("*").alias("_texts"), F.sum("_n").alias("_all")).where("_texts > 1")
+    return kept, texts.join(several, ["_f", *by, "form"])
 
-    ``rows`` must hold each key once.  Null and blank texts are no case; equal
-    texts are no pair.  Two stable texts of one form are equal, so every pair
-    has an unstable member: only forms of unstable texts are searched among
-    the stable ones.  Forms are compared as distinct texts first, and the keys
-    are joined to the pairs of differing texts at the end, so a group of equal
-    texts, however large, is never paired with itself.
+
+def look_alike_classes(rows: DataFrame, key: str, text_col: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, key, class_id, links): each row that looks like a row of other characters, its class and how many such rows there are.
+
+    A class is all rows of one form, of which there are two texts at least;
+    ``class_id`` is its smallest key.  Linear in the rows: no pair is made.
     """
-    base = rows.select(F.col(key).alias("key"), F.col(text_col).alias("text"))
-    odd = unstable_rows(base, "text").where(~F.col("form").rlike("^\\s*$"))
-    forms = odd.select("form").distinct()
-    plain = base.where(F.col("text").isNotNull() & ~unstable(F.col("text")))
-    plain = plain.join(forms, F.col("text") == F.col("form"), "left_semi").withColumn("form", F.col("text"))
-    together = cut_lineage(odd.unionByName(plain))  # few rows: the unstable texts and the stable ones of their forms
-    texts = together.select("form", "text").distinct()
+    kept, texts = _shared(_together(rows, key, text_col, by), by)
+    facts = texts.select("_f", *by, "form", "text", (F.col("_all") - F.col("_n")).alias("links"))
+    first = kept.join(texts.select("_f", *by, "form").distinct(), ["_f", *by, "form"], "left_semi").groupBy("_f", *by, "form").agg(F.min("key").alias("class_id"))
+    return kept.join(facts, ["_f", *by, "form", "text"]).join(first, ["_f", *by, "form"]).select(*by, "key", "class_id", "links")
+
+
+def look_alike_pairs(rows: DataFrame, key: str, text_col: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, key_a, key_b) with key_a < key_b: texts that look the same and are not the same characters.
+
+    ``rows`` must hold each key once (per value of the columns ``by``, within
+    which texts are compared).  Null and blank texts are no case; equal texts
+    are no pair.  Two stable texts of one form are equal, so every pair has an
+    unstable member: only forms of unstable texts are searched among the
+    stable ones.  Forms are compared as distinct texts first, and the keys are
+    joined to the pairs of differing texts at the end, so a group of equal
+    texts, however large, is never paired with itself.  The pairs of two texts
+    are the product of their keys; ``look_alike_classes`` has the same links
+    without it.
+    """
+    kept, texts = _shared(_together(rows, key, text_col, by), by)
+    texts = cut_lineage(texts.select("_f", *by, "form", "text"))  # the few texts that are in a pair
     pairs = (
-        texts.select("form", F.col("text").alias("text_a"))
-        .join(texts.select("form", F.col("text").alias("text_b")), "form")
+        texts.select("_f", *by, "form", F.col("text").alias("text_a"))
+        .join(texts.select("_f", *by, "form", F.col("text").alias("text_b")), ["_f", *by, "form"])
         .where("text_a < text_b")
-        .select("text_a", "text_b")
+        .select(*by, "text_a", "text_b")
     )
-    keys = together.select("text", "key")
-    joined = pairs.join(keys.select(F.col("text").alias("text_a"), F.col("key").alias("a")), "text_a").join(
-        keys.select(F.col("text").alias("text_b"), F.col("key").alias("b")), "text_b"
+    keys = kept.join(texts, ["_f", *by, "form", "text"], "left_semi").select(*by, "text", "key")
+    joined = pairs.join(keys.select(*by, F.col("text").alias("text_a"), F.col("key").alias("a")), [*by, "text_a"]).join(
+        keys.select(*by, F.col("text").alias("text_b"), F.col("key").alias("b")), [*by, "text_b"]
     )
-    return joined.select(F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b"))
+    return joined.select(*by, F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b"))

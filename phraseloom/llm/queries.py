@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_items": queries_p3.p3_items,
         "p4_found": queries_p4.p4_found,
         "p4_canonical": queries_p4.p4_canonical,
+        "p4_classes": queries_p4.p4_classes,
         "p6_found": queries_p6.p6_found,
         "p6_terms": queries_p6.p6_terms,
         "p7_ids": D.p7_ids,
@@ -41,6 +42,7 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": queries_p3.P3_SQL,
         "p4_found": queries_p4.P4_SQL,
         "p4_canonical": queries_p4.P4_CANONICAL_SQL,
+        "p4_classes": queries_p4.P4_CLASSES_SQL,
         "p6_found": queries_p6.P6_SQL,
         "p6_terms": queries_p6.P6_TERMS_SQL,
         "p7_roundtrip": "SELECT doc_id, true AS same FROM documents",
