@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phraseloom.llm import representative as R
+from phraseloom.plans.lineage import cut_lineage
 from phraseloom.sources.tables import table
 
 FIELDS = {"definition": "string", "categories": "array<string>", "tags": "array<string>"}
@@ -13,15 +14,16 @@ GROUP = ["headword", "pos"]
 
 
 def grouped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lexicon rows with their headword key and the trust of their origin."""
+    """Lexicon rows with their headword key and the trust of their origin; fields are reduced before anything is joined."""
     words = table(spark, sf_dir, "wiki_dump").select("entry_id", R.headword_key(F.col("word")).alias("headword")).where("headword is not null")
     trust = table(spark, sf_dir, "origin_trust").groupBy("origin").agg(F.max("trust").alias("trust"))
     rows = table(spark, sf_dir, "lexicon_rows").where("entry_id is not null and pos is not null")
-    return rows.join(words, "entry_id").join(trust, "origin", "left").select("rec_id", *GROUP, *FIELDS, "trust", "updated_at")
+    narrow = R.reduced(rows.select("rec_id", "entry_id", "pos", "origin", "updated_at", *FIELDS), FIELDS)
+    return narrow.join(trust, "origin", "left").drop("origin").join(words, "entry_id").drop("entry_id")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = grouped_rows(spark, sf_dir)
+    rows = cut_lineage(grouped_rows(spark, sf_dir))  # narrow; votes and group sizes read it
     best = R.winners(rows, GROUP, "rec_id", FIELDS, "trust", "updated_at")
     groups = rows.groupBy(*GROUP).agg(F.min("rec_id").alias("first_rec_id"), F.count("*").alias("n")).where("n >= 2")
     return best.join(groups, GROUP).select("first_rec_id", "in_field", F.col("best_id").alias("best_rec_id"))
@@ -29,9 +31,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One entry per headword and part of speech, groups of one row included."""
-    rows = grouped_rows(spark, sf_dir)
-    best = R.winners(rows, GROUP, "rec_id", FIELDS, "trust", "updated_at")
-    whole = R.survivors(rows, best, GROUP, "rec_id", FIELDS)
+    best = R.winners(grouped_rows(spark, sf_dir), GROUP, "rec_id", FIELDS, "trust", "updated_at")
+    whole = R.survivors(table(spark, sf_dir, "lexicon_rows"), best, GROUP, "rec_id", FIELDS)
     return whole.withColumns({"categories": F.array_join("categories", "|"), "tags": F.array_join("tags", "|")})
 
 

@@ -34,31 +34,34 @@ def _text_of(value: Column, is_array: bool) -> Column:
     return F.when(real(clean(value)) & (text != ""), text)
 
 
-def vote_long(
-    rows: DataFrame,
-    group: Sequence[str],
-    row_id: str,
-    fields: Mapping[str, str],
-    trust: str,
-    time: str,
-    half_life_hours: float,
-) -> DataFrame:
-    """Unpivot: one row (group, row_id, in_field, _norm, _size, _trust, _lives) for each usable value."""
-    parts = [
-        F.struct(
-            F.lit(name).alias("in_field"),
-            _text_of(F.col(name), kind.startswith("array")).alias("_norm"),
-            F.length(F.array_join(F.col(name), " ") if kind.startswith("array") else F.col(name)).alias("_size"),
-        )
-        for name, kind in fields.items()
-    ]
+def reduced(rows: DataFrame, fields: Mapping[str, str]) -> DataFrame:
+    """``rows`` with 128 bits of each field's normalised value and its size, ``_v_<field>``, in place of the field.
+
+    Null where the value is no value.  Votes need no more than whether two
+    values are the same, so texts and lists are not shuffled.
+    """
+
+    def short(name: str, kind: str) -> Column:
+        is_array = kind.startswith("array")
+        norm = _text_of(F.col(name), is_array)
+        size = F.length(F.array_join(F.col(name), " ") if is_array else F.col(name))
+        cells = F.transform(F.filter(F.array(norm), lambda n: n.isNotNull()), lambda n: F.struct(F.xxhash64(n).alias("a"), F.xxhash64(F.lit(1), n).alias("b"), size.alias("size")))
+        return F.get(cells, 0)
+
+    return rows.withColumns({f"_v_{name}": short(name, kind) for name, kind in fields.items()}).drop(*fields)
+
+
+def vote_long(rows: DataFrame, group: Sequence[str], row_id: str, fields: Mapping[str, str], trust: str, time: str, half_life_hours: float) -> DataFrame:
+    """Unpivot ``reduced`` rows: (group, row_id, in_field, _a, _b, _size, _trust, _seconds, _lives) for each usable value."""
+    parts = F.array(*[F.struct(F.lit(name).alias("in_field"), F.col(f"_v_{name}").alias("v")) for name in fields])
     # A null time is older than every other: 400 years before the epoch.
     seconds = F.coalesce(F.unix_micros(F.col(time)) / F.lit(1e6), F.lit(-1.26e10))
-    return (
-        rows.select(*group, row_id, F.coalesce(F.col(trust), F.lit(0)).cast("double").alias("_trust"), seconds.alias("_seconds"), F.explode(F.array(*parts)).alias("_f"))
-        .select(*group, row_id, "_trust", "_seconds", "_f.*")
-        .where(F.col("_norm").isNotNull())
-        .withColumn("_lives", F.col("_seconds") / F.lit(3600.0 * half_life_hours))
+    long = rows.select(
+        *group, row_id, F.coalesce(F.col(trust), F.lit(0)).cast("double").alias("_trust"), seconds.alias("_seconds"), F.explode(F.filter(parts, lambda p: p["v"].isNotNull())).alias("_f")
+    )
+    values = {"_a": "_f.v.a", "_b": "_f.v.b", "_size": "_f.v.size"}
+    return long.select(
+        *group, row_id, "_trust", "_seconds", "_f.in_field", *[F.col(v).alias(k) for k, v in values.items()], (F.col("_seconds") / F.lit(3600.0 * half_life_hours)).alias("_lives")
     )
 
 
@@ -71,7 +74,7 @@ def winners(
     time: str,
     half_life_hours: float | None = None,
 ) -> DataFrame:
-    """The winning value of each group and field: (group, in_field, best_id).
+    """The winning value of each group and field: (group, in_field, best_id).  ``rows`` may be ``reduced`` already.
 
     A value's votes are the sum over its rows of (1 + trust) * 2 ** (-age /
     half-life).  The sums are kept as logarithms: rows are added up within
@@ -81,7 +84,7 @@ def winners(
     however many votes others have, and votes (with a half-life of an hour)
     decide only between values whose most recent rows have the same time; with
     one, votes decide alone.  The row that stands for a value is its most
-    recent; ties go to more trust, more text, the smaller id.
+    recent; ties go to more trust, more text, the smaller id (a number).
 
     Every step is a hash aggregation with partial sums, so a group that holds
     a third of all rows is combined before it is shuffled; nothing is
@@ -92,39 +95,31 @@ def winners(
     0, a null time is the oldest; a group or field without any value is not in
     the result.  Repeated rows only add votes.
     """
-    keys = [*group, "in_field", "_norm"]
+    if any(f"_v_{name}" not in rows.columns for name in fields):
+        rows = reduced(rows, fields)
+    keys = [*group, "in_field", "_a", "_b"]
     long = vote_long(rows, group, row_id, fields, trust, time, _HALF_LIFE_HOURS if half_life_hours is None else half_life_hours)
-    band = F.floor(F.col("_lives") / F.lit(_BAND))
+    rank = F.struct("_seconds", "_trust", "_size", (-F.col(row_id)).alias("_id"))
     by_band = (
-        long.withColumn("_band", band)
+        long.withColumn("_band", F.floor(F.col("_lives") / F.lit(_BAND)))
         .groupBy(*keys, "_band")
-        .agg(
-            F.sum((1 + F.col("_trust")) * F.pow(F.lit(2.0), F.col("_lives") - F.col("_band") * _BAND)).alias("_sum"),
-            F.max_by(F.col(row_id), F.struct("_seconds", "_trust", "_size", -F.col(row_id))).alias("_row"),
-            F.max(F.struct("_seconds", "_trust", "_size", -F.col(row_id))).alias("_rank"),
-        )
-    )
-    by_value = by_band.groupBy(*keys).agg(
-        F.collect_list(F.col("_band") * _BAND + F.log2("_sum")).alias("_logs"),
-        F.max_by("_row", "_rank").alias("_row"),
-        F.max("_rank").alias("_rank"),
+        .agg(F.sum((1 + F.col("_trust")) * F.pow(F.lit(2.0), F.col("_lives") - F.col("_band") * _BAND)).alias("_sum"), F.max(rank).alias("_rank"))
     )
+    by_value = by_band.groupBy(*keys).agg(F.collect_list(F.col("_band") * _BAND + F.log2("_sum")).alias("_logs"), F.max("_rank").alias("_rank"))
     top = F.array_max("_logs")
     votes = top + F.log2(F.aggregate("_logs", F.lit(0.0), lambda a, x: a + F.pow(F.lit(2.0), x - top)))
     # no sum of votes is sure to stay below those of the newest row, so its time is compared first
-    order = ["_votes", "_rank"] if half_life_hours is not None else ["_rank._seconds", "_votes", "_rank"]
-    return (
-        by_value.withColumn("_votes", votes)
-        .groupBy(*group, "in_field")
-        .agg(F.max_by("_row", F.struct(*order)).alias("best_id"))
-    )
+    order = [F.col("_votes"), F.col("_rank")] if half_life_hours is not None else [F.col("_rank._seconds").alias("_newest"), F.col("_votes"), F.col("_rank")]
+    best = by_value.withColumn("_votes", votes).groupBy(*group, "in_field").agg(F.max_by("_rank", F.struct(*order)).alias("_best"))
+    return best.select(*group, "in_field", (-F.col("_best._id")).alias("best_id"))
 
 
 def survivors(rows: DataFrame, best: DataFrame, group: Sequence[str], row_id: str, fields: Mapping[str, str]) -> DataFrame:
     """Pivot back: one record per group with the winning value of each field, null where no row has one.
 
-    ``rows`` must hold each ``row_id`` once.  The join is on unique ids, so no
-    key is hot; the pivot aggregates at most one row per field.
+    ``rows`` must hold each ``row_id`` once; their groups are not read.  The
+    join is on unique ids, so no key is hot; the pivot aggregates at most one
+    row per field.
     """
     values = rows.select(F.col(row_id).alias("best_id"), *[F.col(n).alias(f"_v_{n}") for n in fields])
     joined = best.join(values, "best_id")
