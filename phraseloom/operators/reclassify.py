@@ -58,28 +58,38 @@ def labels_of(answers: Column) -> Column:
     return F.from_json(body, "results array<struct<id:bigint,kind:string>>")["results"]
 
 
-def classify(prompted: DataFrame, ask: Callable[[str], str], per_minute: int = 0, retry_seconds=C.RETRY_SECONDS) -> DataFrame:
+def classify(prompted: DataFrame, ask: Callable[[str], str], per_minute: int = 0, retry_seconds=C.RETRY_SECONDS, keep_errors: bool = False) -> DataFrame:
     """(batch, answer): ``ask`` called once per prompt, with retries and a rate limit.
 
     Errors whose message holds 429, 503 or 500 are retried after each delay;
-    others are raised.  With a limit all calls go through one task, as the
-    limit is for all of them.
+    others are raised, or with ``keep_errors`` end up in a column ``error``, so
+    that other answers are not lost.  With a limit all calls go through one
+    task, as the limit is for all of them.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gap = 60.0 / per_minute if per_minute > 0 else 0.0
         last = None
         for frame in frames:
-            answers = []
+            answers: list[str | None] = []
+            errors: list[str | None] = []
             for prompt in frame["prompt"]:
                 if gap and last is not None:
                     time.sleep(max(0.0, last + gap - time.monotonic()))
                 last = time.monotonic()
-                answers.append(with_retries(ask, prompt, retry_seconds))
-            yield pd.DataFrame({"batch": frame["batch"], "answer": answers})
+                try:
+                    answers.append(with_retries(ask, prompt, retry_seconds))
+                    errors.append(None)
+                except Exception as e:
+                    if not keep_errors:
+                        raise
+                    answers.append(None)
+                    errors.append(f"{type(e).__name__}: {e}")
+            out = {"batch": frame["batch"], "answer": answers}
+            yield pd.DataFrame(out | {"error": errors} if keep_errors else out)
 
     rows = prompted.select("batch", "prompt")
-    return (rows.coalesce(1) if per_minute > 0 else rows).mapInPandas(run, "batch bigint, answer string")
+    return (rows.repartition(1) if per_minute > 0 else rows).mapInPandas(run, "batch bigint, answer string" + (", error string" if keep_errors else ""))
 
 
 def with_retries(ask: Callable[[str], str], prompt: str, delays, sleep: Callable[[float], None] = time.sleep) -> str:
@@ -100,25 +110,36 @@ def rewrite(categories: Column, target: Column) -> Column:
     return F.array_distinct(F.transform(categories, lambda c: F.when(c == "idiom", target).otherwise(c)))
 
 
+def labels_in(answers: DataFrame) -> DataFrame:
+    """(batch, id, kind, place): the labels of each answer with their places in it; an answer that cannot be read has none."""
+    return answers.select("batch", F.posexplode(labels_of(F.col("answer"))).alias("place", "_l")).select("batch", "place", "_l.*")
+
+
 def relabel(entries: DataFrame, labels: DataFrame, order: str | None = None) -> DataFrame:
     """(id, categories, reclassified) of entries by (id, kind) labels.
 
     ``fixed`` gives fixed_collocation; any other kind, or none, stays idiom.
-    Of several labels of one id the last by ``order`` holds.
+    Of several labels of one id the last by ``order`` holds (without an order
+    it must have one).  Labels of ids that are no entry's are ignored; where
+    both sides have a ``batch``, a label counts in its own batch only.
     """
-    last = labels.groupBy("id").agg(F.max_by("kind", order) if order else F.max("kind").alias("kind"))
-    last = last.toDF("id", "kind")
-    joined = entries.join(last, "id", "left")
-    fixed = F.coalesce(F.col("kind") == "fixed", F.lit(False))
+    keys = ["batch", "id"] if "batch" in labels.columns and "batch" in entries.columns else ["id"]
+    kind = F.max_by("kind", order) if order else F.max("kind")
+    joined = entries.join(labels.groupBy(*keys).agg(kind.alias("_kind")), keys, "left")
+    fixed = F.coalesce(F.col("_kind") == "fixed", F.lit(False))
     target = F.when(fixed, "fixed_collocation").otherwise("idiom")
     return joined.select("id", rewrite(F.col("categories"), target).alias("categories"), fixed.alias("reclassified"))
 
 
-def run(entries: DataFrame, corrections_path: str, ask: Callable[[str], str], order: list[str], per_minute: int = 0) -> DataFrame:
+def run(entries: DataFrame, corrections_path: str, ask: Callable[[str], str], order: list[str], per_minute: int = 0, flush_batches: int | None = None) -> DataFrame:
     """Reclassify the idioms that ``corrections_path`` has no line for yet, append their lines, return counters.
 
-    Safe to run again: what is in the folder is done.  The classifier is called
-    once per batch, as its answers are checkpointed before they are written.
+    Batches are asked in waves of ``flush_batches`` (one at a time under a rate
+    limit, else as many as the cluster runs tasks), and the lines of a wave are
+    appended before the next begins.  If a call fails for good, the answers of
+    its wave are appended all the same, then the error is raised: no answered
+    batch is ever asked again, as a second run begins with what the folder
+    lacks.  The driver keeps three sums; waves are as few as calls allow.
     """
     spark = entries.sparkSession
     todo = idioms(entries)
@@ -126,9 +147,24 @@ def run(entries: DataFrame, corrections_path: str, ask: Callable[[str], str], or
         lines = spark.read.text(corrections_path).withColumnRenamed("value", "line")
         todo = unprocessed(todo, lines.select(F.get_json_object("line", "$.id").cast("bigint").alias("id")).where("id is not null"))
     batched = cut_lineage(batches(todo, order))
-    answers = cut_lineage(classify(prompts(batched), ask, per_minute))
-    labels = answers.select(F.explode(labels_of(F.col("answer"))).alias("l")).select("l.*")
-    lines = cut_lineage(relabel(batched, labels))
-    jsonl.append_corrections(lines, corrections_path)
-    counts = lines.agg(F.count("*").alias("processed"), F.count_if("reclassified").alias("reclassified"))
-    return counts.withColumn("batches", F.ceil(F.col("processed") / C.BATCH_SIZE))
+    count = (batched.agg(F.max("batch")).first()[0] + 1) if not batched.isEmpty() else 0
+    wave = flush_batches or (1 if per_minute > 0 else max(1, spark.sparkContext.defaultParallelism))
+    done = {"processed": 0, "reclassified": 0, "batches": 0}
+    waited = 0.0  # a wave is a task of its own, so the gap to the call before is kept here
+    for start in range(0, count, wave):
+        part = batched.where(F.col("batch").between(start, start + wave - 1))
+        if per_minute > 0 and waited:
+            time.sleep(max(0.0, waited + 60.0 / per_minute - time.monotonic()))
+        answers = cut_lineage(classify(prompts(part), ask, per_minute, keep_errors=True))
+        waited = time.monotonic()
+        answered = part.join(answers.where("error is null").select("batch"), "batch", "left_semi")
+        lines = cut_lineage(relabel(answered, labels_in(answers.where("error is null")), "place"))
+        jsonl.append_corrections(lines, corrections_path)
+        sums = lines.agg(F.count("*"), F.count_if("reclassified")).first()
+        done["processed"] += sums[0]
+        done["reclassified"] += sums[1]
+        failed = answers.where("error is not null").orderBy("batch").first()
+        done["batches"] += min(wave, count - start)
+        if failed is not None:
+            raise RuntimeError(f"batch {failed.batch}: {failed.error}; what was answered is in {corrections_path}")
+    return spark.createDataFrame([tuple(done.values())], "processed bigint, reclassified bigint, batches bigint")

@@ -76,9 +76,9 @@ def first_lemma_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corrections_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lexicon rows, with the categories of the last correction of their id (every seventh row serves as one)."""
+    """Lexicon rows, with the categories of the last correction of their id (the rows of the editors serve as corrections)."""
     rows = table(spark, sf_dir, "lexicon_rows")
-    fixes = rows.where("rec_id % 7 = 0 and categories is not null").groupBy("id").agg(F.max_by("categories", "rec_id").alias("categories"))
+    fixes = rows.where("origin = 'editors' and categories is not null").groupBy("id").agg(F.max_by("categories", "rec_id").alias("categories"))
     fixed = lexicon.apply_corrections(rows.select("rec_id", "id", "phrase", "categories"), fixes)
     return fixed.withColumn("categories", _joined("categories"))
 
@@ -141,21 +141,45 @@ def prompt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _labels(rows: DataFrame) -> DataFrame:
-    """Stand-in answers: by the id's remainder, some missing."""
-    kind = F.when(F.col("id") % 4 == 0, "fixed").when(F.col("id") % 4 == 1, "idiom").when(F.col("id") % 4 == 2, "other")
-    return rows.select("id", kind.alias("kind")).where("kind is not null").distinct()
+    """Stand-in labels with their places: by the id's remainder, some missing, some repeated with another kind, some of ids of no entry."""
+    kinds = F.when(F.col("id") % 4 == 0, F.array(F.lit("idiom"), F.lit("fixed"))).when(F.col("id") % 4 == 1, F.array(F.lit("fixed"), F.lit("idiom"))).when(F.col("id") % 4 == 2, F.array(F.lit("other")))
+    ids = rows.select("id").distinct()
+    known = ids.select("id", F.posexplode(kinds).alias("place", "kind"))
+    return known.unionByName(ids.select((-F.col("id")).alias("id"), F.lit(0).alias("place"), F.lit("fixed").alias("kind")))
 
 
 def category_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Idioms with the categories that the last label of their id gives."""
     rows = reclassify.idioms(table(spark, sf_dir, "lexicon_rows"))
-    out = reclassify.relabel(rows, _labels(rows))
+    out = reclassify.relabel(rows, _labels(rows), "place")
+    return out.groupBy("id", _joined("categories").alias("categories"), "reclassified").agg(F.count("*").alias("n"))
+
+
+def _answers(batched: DataFrame) -> DataFrame:
+    """(batch, answer): stand-in answers, each with all labels of its batch twice, the second time by the id's remainder,
+    then a label of every entry of the next batch, which counts only for an entry that has the same id here."""
+    label = lambda x, kind: F.concat(F.lit('{"id":'), x["id"], F.lit(',"kind":"'), kind, F.lit('"}'))
+    first = F.transform("_l", lambda x: label(x, F.lit("fixed")))
+    second = F.transform("_l", lambda x: label(x, F.when(x["id"] % 4 == 0, "fixed").otherwise("idiom")))
+    ids = batched.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("batch_pos", "id"))).alias("_l"))
+    following = ids.select((F.col("batch") - 1).alias("batch"), F.transform("_l", lambda x: label(x, F.lit("fixed"))).alias("_foreign"))
+    both = ids.join(following, "batch", "left")
+    inner = F.concat(F.lit('{"results":['), F.array_join(F.concat(first, second, F.coalesce("_foreign", F.array().cast("array<string>"))), ","), F.lit("]}"))
+    answer = F.to_json(F.struct(F.array(F.struct(F.struct(F.array(F.struct(inner.alias("text"))).alias("parts")).alias("content"))).alias("candidates")))
+    return both.select("batch", answer.alias("answer"))
+
+
+def reclassified_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open idioms relabelled from the answers to their batches."""
+    rows = reclassify.batches(_open_idioms(spark, sf_dir).select("rec_id", "id", "categories"), ["rec_id"])
+    out = reclassify.relabel(rows, reclassify.labels_in(_answers(rows)), "place")
     return out.groupBy("id", _joined("categories").alias("categories"), "reclassified").agg(F.count("*").alias("n"))
 
 
 def reclassify_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row: entries processed, entries reclassified, batches."""
     rows = _open_idioms(spark, sf_dir)
-    out = reclassify.relabel(rows, _labels(rows))
+    out = reclassify.relabel(rows, _labels(rows), "place")
     return out.agg(
         F.count("*").alias("processed"), F.count_if("reclassified").alias("reclassified"), F.ceil(F.count("*") / reclassify.C.BATCH_SIZE).alias("batches")
     )
@@ -174,7 +198,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         lexicon_lines, wiki_lines, lexicon_load, first_lemma_index, corrections_overlay, correction_lines, builder_filters, builder_categories, builder_lexicon,
-        builder_stats, hash_ids, idiom_selection, anti_cache, llm_batches, prompt_lines, category_rewrite, reclassify_stats, json_pointer,
+        builder_stats, hash_ids, idiom_selection, anti_cache, llm_batches, prompt_lines, category_rewrite, reclassified_batches, reclassify_stats, json_pointer,
     )
 }
 
@@ -235,7 +259,7 @@ SQL = {
     "lexicon_load": f"SELECT entry_idx, id, phrase, {_j('categories')} AS categories, {S.flat('elements')} AS elements FROM {_ENTRIES}",
     "first_lemma_index": f"""SELECT first_lemma, count(*)::int AS n, string_agg(entry_idx::varchar, ',' ORDER BY entry_idx) AS entries
 FROM (SELECT entry_idx, list_filter(elements, lambda e: e[1] = 'w')[1][2] AS first_lemma FROM {_ENTRIES}) GROUP BY first_lemma""",
-    "corrections_overlay": f"""WITH f AS (SELECT id, arg_max(categories, rec_id) AS fixed FROM lexicon_rows WHERE rec_id % 7 = 0 AND categories IS NOT NULL GROUP BY id)
+    "corrections_overlay": f"""WITH f AS (SELECT id, arg_max(categories, rec_id) AS fixed FROM lexicon_rows WHERE origin = 'editors' AND categories IS NOT NULL GROUP BY id)
 SELECT rec_id, id, phrase, {_j('c')} AS categories FROM (SELECT rec_id, l.id, phrase, CASE WHEN f.id IS NULL THEN categories ELSE fixed END AS c FROM lexicon_rows l LEFT JOIN f ON l.id = f.id)""",
     "correction_lines": f"""SELECT (j->>'$.id')::bigint AS id, coalesce(array_to_string(arg_max({_MEMBERS.format('categories')}, line_no), '|'), '') AS categories
 FROM {_LINES} WHERE json_type(j) = 'OBJECT' AND {_ID_OK} AND json_type(j, '$.categories') = 'ARRAY' AND {_GOOD_STRINGS.format('categories', '')} GROUP BY 1""",
@@ -251,6 +275,9 @@ coalesce(array_to_string(sense_tags, '|'), '') AS tags, {S.flat('elements')} AS
 FROM {_BATCHED} GROUP BY batch""",
     "category_rewrite": f"""SELECT id, array_to_string(list_filter(r, lambda c, i: list_position(r, c) = i), '|') AS categories, id % 4 = 0 AS reclassified, count(*) AS n
 FROM (SELECT id, {_REWRITTEN} AS r FROM lexicon_rows WHERE list_contains(categories, 'idiom')) GROUP BY ALL""",
+    "reclassified_batches": f"""WITH b AS {_BATCHED}, l AS (SELECT *, id % 4 = 0 OR EXISTS (SELECT 1 FROM b n WHERE n.batch = b.batch + 1 AND n.id = b.id) AS reclassified FROM b)
+SELECT id, array_to_string(list_filter(r, lambda c, i: list_position(r, c) = i), '|') AS categories, reclassified, count(*) AS n
+FROM (SELECT id, reclassified, list_transform(categories, lambda c: CASE WHEN c = 'idiom' AND reclassified THEN 'fixed_collocation' ELSE c END) AS r FROM l) GROUP BY ALL""",
     "reclassify_stats": f"SELECT count(*) AS processed, count(*) FILTER (WHERE id % 4 = 0) AS reclassified, ceil(count(*) / 50)::bigint AS batches FROM {_OPEN}",
     "json_pointer": "SELECT id, id AS label_id, CASE WHEN id % 2 = 0 THEN 'fixed' ELSE 'idiom' END AS kind FROM core_lexicon",
 }

@@ -174,6 +174,41 @@ def test_reclassification_resumes(spark, tmp_path):
     assert len(lines) == len({x["id"] for x in lines}) == 60 and {tuple(x["categories"]) for x in lines if x["id"] % 2} == {("fixed_collocation",)}
 
 
+def test_last_label_of_the_own_batch_holds(spark):
+    entries = spark.createDataFrame([(5, ["idiom"], 0), (5, ["idiom"], 1), (6, ["idiom"], 0), (7, ["idiom", "x", "idiom"], 1)], "id bigint, categories array<string>, batch bigint")
+    labels = [(0, 5, "idiom", 0), (0, 5, "fixed", 1), (1, 5, "fixed", 0), (1, 5, "idiom", 1), (1, 6, "fixed", 2), (0, 99, "fixed", 3), (1, 7, "fixed", 4)]
+    out = reclassify.relabel(entries, spark.createDataFrame(labels, "batch bigint, id bigint, kind string, place int"), "place")
+    assert sorted((r.id, r.categories, r.reclassified) for r in out.collect()) == [
+        (5, ["fixed_collocation"], True), (5, ["idiom"], False), (6, ["idiom"], False), (7, ["fixed_collocation", "x"], True)
+    ]
+
+
+def test_no_answered_batch_is_asked_again(spark, tmp_path):
+    """The third batch fails: what was answered is there, and a second run asks for the rest only."""
+    entries = spark.createDataFrame([(i, f"p {i}", None, ["idiom"], i) for i in range(190)], "id bigint, phrase string, definition string, categories array<string>, k int")
+    calls, broken, path = str(tmp_path / "calls"), str(tmp_path / "broken"), str(tmp_path / "corrections")
+    open(broken, "w").close()
+
+    def ask(prompt):
+        import json as j
+        import os
+        import re
+
+        ids = [int(x) for x in re.findall(r"id=(\d+)", prompt)]
+        if ids[0] == 100 and os.path.exists(broken):
+            raise RuntimeError("http 400")
+        with open(calls, "a") as f:
+            f.write(f"{ids[0]}\n")
+        return j.dumps({"candidates": [{"content": {"parts": [{"text": j.dumps({"results": [{"id": i, "kind": "fixed"} for i in ids]})}]}}]})
+
+    with pytest.raises(RuntimeError, match="batch 2: RuntimeError: http 400"):
+        reclassify.run(entries, path, ask, ["k"], flush_batches=2)
+    assert spark.read.text(path).count() == 140  # the fourth batch was in the wave of the third
+    (tmp_path / "broken").unlink()
+    assert tuple(reclassify.run(entries, path, ask, ["k"], per_minute=100000).first()) == (50, 50, 1)
+    assert sorted(int(x) for x in open(calls).read().split()) == [0, 50, 100, 150] and spark.read.text(path).count() == 190
+
+
 def test_numbering_over_partitions(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k")).repartition(7)
     assert all(r.k == r.n for r in lexicon.numbered(df, ["k"], "n").collect())
