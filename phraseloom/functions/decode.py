@@ -76,14 +76,7 @@ def arborescence(score: np.ndarray, root: int = 0) -> np.ndarray:
         group[free] = count + np.arange(len(free))
         m = count + len(free)
         gain = weight - np.where(cycle >= 0, best, np.float32(0))[None, :]
-        joined = np.full((m, m), -np.inf, np.float32)
-        arcs = np.full((m, m, 2), -1)
-        for u in range(n):
-            for v in range(n):
-                a, b = group[u], group[v]
-                if a != b and v != root and gain[u, v] > joined[a, b]:
-                    joined[a, b] = gain[u, v]
-                    arcs[a, b] = u, v
+        joined, arcs = _best_between(gain, group, m, root)
         levels.append((head, arcs, group[root]))
         weight, root = joined, group[root]
     for inner, arcs, top in reversed(levels):
@@ -98,6 +91,21 @@ def arborescence(score: np.ndarray, root: int = 0) -> np.ndarray:
     return head
 
 
+def _best_between(gain: np.ndarray, group: np.ndarray, m: int, root: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best arc between any two of ``m`` groups of nodes, and its ends; the lowest head, then dependent, wins ties."""
+    usable = (group[:, None] != group[None, :]) & np.isfinite(gain)
+    usable[:, root] = False
+    u, v = np.nonzero(usable)
+    pair, value = group[u] * m + group[v], gain[u, v]
+    order = np.lexsort((v, u, -value, pair))
+    first = order[np.flatnonzero(np.append(True, np.diff(pair[order]) > 0))] if len(order) else order
+    joined, arcs = np.full((m, m), -np.inf, np.float32), np.full((m, m, 2), -1)
+    a, b = np.divmod(pair[first], m)
+    joined[a, b] = value[first]
+    arcs[a, b, 0], arcs[a, b, 1] = u[first], v[first]
+    return joined, arcs
+
+
 def _cycles(head: np.ndarray, root: int) -> np.ndarray:
     """Number of the cycle each node is on, in the order they are met; -1 for none."""
     n = len(head)

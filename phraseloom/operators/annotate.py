@@ -7,8 +7,8 @@ tensors of any parser into tokens; ``OnnxScorer`` runs one inside the workers.
 from __future__ import annotations
 
 import os
-import time
-from collections.abc import Iterator
+import threading
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -78,66 +78,131 @@ def decode_scores(scored: DataFrame, rels: list[str], upos: list[str], feats: li
     return rows.withColumn("tokens", F.transform("words", token)).drop("_heads")
 
 
-@dataclass
+class _Models:
+    """What a worker process has loaded, by key: shared by all of its tasks, dropped after idle seconds by a timer."""
+
+    def __init__(self):
+        self.lock = threading.Lock()
+        self.loaded: dict = {}
+        self.timers: dict = {}
+
+    def get(self, key, load: Callable[[], object], idle_seconds: float):
+        """The model under ``key``, loaded if it is not there; its timer begins anew."""
+        with self.lock:
+            if key not in self.loaded:
+                self.loaded[key] = load()
+            timer = self.timers.pop(key, None)
+            if timer is not None:
+                timer.cancel()
+            timer = threading.Timer(idle_seconds, self._drop, (key,))
+            timer.daemon = True
+            self.timers[key] = timer
+            timer.start()
+            return self.loaded[key]
+
+    def _drop(self, key) -> None:
+        with self.lock:
+            if self.timers.get(key) is threading.current_thread():  # else it was used meanwhile
+                self.loaded.pop(key, None)
+                self.timers.pop(key, None)
+
+
+_MODELS = _Models()
+
+
+def load_onnx(model_path: str, tokenizer_path: str, options: SessionOptions):
+    """An inference session and its tokenizer."""
+    import onnxruntime as ort
+    from tokenizers import Tokenizer
+
+    o = ort.SessionOptions()
+    o.graph_optimization_level = ort.GraphOptimizationLevel.ORT_ENABLE_ALL
+    o.enable_cpu_mem_arena = options.cpu_arena
+    o.enable_mem_pattern = options.mem_pattern
+    o.intra_op_num_threads = options.intra_threads
+    return ort.InferenceSession(model_path, o, providers=["CPUExecutionProvider"]), Tokenizer.from_file(tokenizer_path)
+
+
+@dataclass(frozen=True)
 class OnnxScorer:
-    """Scores of a parser model, loaded once per Python worker when first needed."""
+    """Scores of a parser model.
+
+    The scorer is sent to the workers as its two paths and options; the model
+    itself is loaded once per worker process, when first needed, shared by all
+    tasks that the process runs, and freed after ``idle_unload_seconds``
+    without use.  Sentences whose grids have one shape are run together, at
+    most ``batch_size`` at a time, if the model takes more than one.
+    """
 
     model_path: str
     tokenizer_path: str
     options: SessionOptions = field(default_factory=SessionOptions)
+    batch_size: int = 64
+    load: Callable = load_onnx
 
-    def __post_init__(self):
-        self._session = self._tokenizer = None
-        self._used = 0.0
-
-    def _load(self):
-        import onnxruntime as ort
-        from tokenizers import Tokenizer
-
-        if self._session is not None and time.monotonic() - self._used > self.options.idle_unload_seconds:
-            self._session = None
-        if self._session is None:
-            o = ort.SessionOptions()
-            o.graph_optimization_level = ort.GraphOptimizationLevel.ORT_ENABLE_ALL
-            o.enable_cpu_mem_arena = self.options.cpu_arena
-            o.enable_mem_pattern = self.options.mem_pattern
-            o.intra_op_num_threads = self.options.intra_threads
-            self._session = ort.InferenceSession(self.model_path, o, providers=["CPUExecutionProvider"])
-            self._tokenizer = Tokenizer.from_file(self.tokenizer_path)
-        self._used = time.monotonic()
-        return self._session, self._tokenizer
+    def _model(self):
+        key = (self.model_path, self.tokenizer_path, self.options)
+        return _MODELS.get(key, lambda: self.load(self.model_path, self.tokenizer_path, self.options), self.options.idle_unload_seconds)
 
     def __call__(self, words: list[str]) -> dict[str, np.ndarray]:
-        session, tokenizer = self._load()
-        ids = [tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+        return self.many([words])[0]
+
+    def many(self, sentences: list[list[str]]) -> list[dict[str, np.ndarray]]:
+        """One result for each sentence, in order."""
+        session, tokenizer = self._model()
+        grids = [subword_grid([tokenizer.encode(w, add_special_tokens=False).ids for w in words]) for words in sentences]
         names = [o.name for o in session.get_outputs()]
-        return dict(zip(names, session.run(names, {"subwords": subword_grid(ids)})))
+        fixed = session.get_inputs()[0].shape[0] == 1
+        shapes: dict = {}
+        for i, grid in enumerate(grids):
+            shapes.setdefault(grid.shape, []).append(i)
+        found: list = [None] * len(sentences)
+        for same in shapes.values():
+            step = 1 if fixed else self.batch_size
+            for at in range(0, len(same), step):
+                part = same[at : at + step]
+                tensors = session.run(names, {"subwords": np.concatenate([grids[i] for i in part])})
+                for k, i in enumerate(part):
+                    found[i] = {n: t[k : k + 1] for n, t in zip(names, tensors)}
+        return found
 
 
 SCORES = "s_arc array<array<float>>, s_rel array<array<array<float>>>, s_pos array<array<float>>, s_feats array<array<array<float>>>"
 
 
+def _scored(scorer, sentences: list[list[str]]) -> list[tuple[dict, str | None]]:
+    """(tensors, error) of each sentence; a sentence without words is not scored, and one that fails fails alone."""
+
+    def alone(words):
+        try:
+            return (scorer(words) if words else {}), None
+        except Exception as e:
+            return {}, str(e)
+
+    some = [i for i, words in enumerate(sentences) if words]
+    if hasattr(scorer, "many") and some:
+        try:
+            results = dict(zip(some, scorer.many([sentences[i] for i in some])))
+            return [(results.get(i, {}), None) for i in range(len(sentences))]
+        except Exception:  # one of them: find out which
+            pass
+    return [alone(words) for words in sentences]
+
+
 def score(sentences: DataFrame, scorer, key_schema: str) -> DataFrame:
     """Run ``scorer(words) -> {name: tensor}`` over rows with ``words``; a sentence without words has empty scores.
 
-    A failing sentence does not fail its task: ``error`` holds the message.
+    A scorer with a method ``many`` gets the sentences of a batch at once.  A
+    failing sentence does not fail its task: ``error`` holds the message.
     """
     keys = [c for c in sentences.columns if c != "words"]
     names = ("s_arc", "s_rel", "s_pos", "s_feats")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = {n: [] for n in (*names, "error")}
-            for words in frame["words"]:
-                error, tensors = None, {}
-                try:
-                    tensors = scorer(list(words)) if len(words) else {}
-                except Exception as e:
-                    error = str(e)
-                for n in names:
-                    out[n].append(np.asarray(tensors[n][0], np.float32).tolist() if n in tensors else [])
-                out["error"].append(error)
-            yield pd.concat([frame, pd.DataFrame(out, index=frame.index)], axis=1)
+            results = _scored(scorer, [list(words) if words is not None else [] for words in frame["words"]])
+            out = {n: [np.asarray(tensors[n][0], np.float32).tolist() if n in tensors else [] for tensors, _ in results] for n in names}
+            yield pd.concat([frame, pd.DataFrame(out | {"error": [error for _, error in results]}, index=frame.index)], axis=1)
 
     return sentences.select(*keys, "words").mapInPandas(run, f"{key_schema}, words array<string>, {SCORES}, error string")
 

@@ -94,10 +94,11 @@ def first_per_word(entries: DataFrame, config: BuilderConfig, order: list[str])
     """The first entry of each exact headword among those that have a type and are not blocked.
 
     A hash aggregation with partial results: a headword that a third of the
-    rows share is reduced to one row per task before the shuffle.
+    rows share is reduced to one row per task before the shuffle, which moves
+    only what the lexicon keeps, not the senses and categories of the dump.
     """
     good = entries.where((F.size("types") > 0) & ~F.col("word").isin(*config.phrase_blocklist))
-    rest = [c for c in entries.columns if c != "word"]
+    rest = list(dict.fromkeys(c for c in ("pos", "types", "first_gloss", "sense_tags", *order) if c in entries.columns))
     return good.groupBy("word").agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_e")).select("word", "_e.*")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phraseloom.functions import pattern, text
-from phraseloom.operators.sizes import broadcast_if_small
+from phraseloom.operators.sizes import fits_broadcast
 
 TOKEN = "struct<id:int,word:string,lemma:string,head:int,rel:string,upos:string,feats:string>"
 
@@ -43,17 +43,35 @@ def planned(entries: DataFrame) -> DataFrame:
     )
 
 
-def candidates(sentences: DataFrame, entries: DataFrame, key: str = "sent_id") -> DataFrame:
+#: Parts into which the sentences of one lemma are spread where the lexicon is too large to broadcast.
+SALTS = 32
+
+
+def candidates(sentences: DataFrame, entries: DataFrame, key: str = "sent_id", most_bytes: int | None = None) -> DataFrame:
     """Prepared sentences joined to the planned entries whose first lemma occurs in them, exactly.
 
-    A hash join on the lemma; the lexicon is broadcast if its size allows.
     Equal lemmas share their first characters, so pairs where a stem of the
     entry is missing from the sentence are dropped by a set difference before
     any matching.
+
+    A lexicon of at most ``most_bytes`` (measured) is broadcast: one hash join
+    in the task that reads the sentences, nothing is shuffled.  A larger one is
+    joined in two steps: sentence keys, lemmas and stems meet first lemmas and
+    stems, without the sentences themselves; lemmas as frequent as "be" are
+    spread over ``SALTS`` parts, for which the narrow side of the lexicon is
+    repeated.  The few pairs that are left fetch their entry and their
+    sentence, whose keys are unique.
     """
-    lemmas = sentences.select("*", F.explode(F.array_distinct("_lemmas")).alias("_lemma"))
-    joined = lemmas.join(broadcast_if_small(entries), F.col("_lemma") == F.col("_first")).drop("_lemma")
-    return joined.where(F.size(F.array_except("_entry_stems", "_stems")) == 0)
+    stems_there = F.size(F.array_except("_entry_stems", "_stems")) == 0
+    lemmas = F.explode(F.array_distinct("_lemmas")).alias("_lemma")
+    if fits_broadcast(entries, most_bytes):
+        joined = sentences.select("*", lemmas).join(F.broadcast(entries), F.col("_lemma") == F.col("_first")).drop("_lemma")
+        return joined.where(stems_there)
+    salt = F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")
+    narrow = sentences.select(key, "_stems", lemmas).withColumn("_salt", salt)
+    firsts = entries.select("_first", "_entry_stems", "entry_idx", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    hits = narrow.join(firsts, (F.col("_lemma") == F.col("_first")) & (narrow["_salt"] == firsts["_salt"])).where(stems_there).select(key, "entry_idx")
+    return hits.join(entries, "entry_idx").join(sentences, key)
 
 
 def matched(pairs: DataFrame) -> DataFrame:
@@ -107,14 +125,14 @@ def resolve_overlaps(matches: DataFrame, key: str = "sent_id") -> DataFrame:
     return grouped.select(key, F.explode(keep_strongest(F.col("_m"))).alias("_k")).select(key, "_k.*")
 
 
-def detect(sentences: DataFrame, entries: DataFrame, key: str = "sent_id") -> DataFrame:
+def detect(sentences: DataFrame, entries: DataFrame, key: str = "sent_id", most_bytes: int | None = None) -> DataFrame:
     """One row per expression found: the whole chain over (key, tokens) and (entry_idx, id, phrase, ..., elements).
 
-    The lexicon join needs no shuffle while the lexicon can be broadcast;
-    overlaps are resolved after one shuffle of the few matches.
+    The lexicon join needs no shuffle while the lexicon can be broadcast (see
+    ``candidates``); overlaps are resolved after one shuffle of the few matches.
     """
     narrow = prepared(sentences.select(key, "tokens")).drop("tokens")
-    found = matched(candidates(narrow, planned(entries), key))
+    found = matched(candidates(narrow, planned(entries), key, most_bytes))
     return resolve_overlaps(as_matches(found, key), key)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phraseloom.functions import feats, pattern
+from phraseloom.functions import feats, pattern, text
 from phraseloom.operators import lexicon, mwe
 from phraseloom.plans import sqltext as S
 from phraseloom.sources.tables import table
@@ -34,15 +34,19 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("sent_id", "entry_idx")
 
 
+def _paths(pairs: DataFrame) -> DataFrame:
+    """Candidates that match, with their path, computed once."""
+    return pairs.select("*", text.once_if(pattern.match(F.col("_toks"), F.col("_plan")), lambda p: p.isNotNull()).alias("_path"))
+
+
 def match_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions of every match, before the gate and before overlaps are resolved."""
-    pairs = _pairs(spark, sf_dir).withColumn("path", pattern.match(F.col("_toks"), F.col("_plan")))
-    return pairs.where("path is not null").select("sent_id", "entry_idx", _ids("path").alias("path"))
+    return _paths(_pairs(spark, sf_dir)).select("sent_id", "entry_idx", _ids("_path").alias("path"))
 
 
 def arc_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches of phrasal verbs and whether they pass the gate."""
-    pairs = _pairs(spark, sf_dir).where("_phrasal").withColumn("_path", pattern.match(F.col("_toks"), F.col("_plan"))).where("_path is not null")
+    pairs = _paths(_pairs(spark, sf_dir).where("_phrasal"))
     gate = pattern.phrasal_arc_ok(F.col("_path"), F.col("_heads"), F.col("_rels"), F.col("_upos"))
     return pairs.select("sent_id", "entry_idx", gate.alias("passes"))
 
@@ -62,6 +66,12 @@ def detect_mwes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(found).select("sent_id", "id", "pos", "phrase", "definition", "categories", "has_slot", "token_ids", "words", "surface", "discontinuous")
 
 
+def detect_large_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expressions found in all parsed sentences, joined as with a lexicon that is too large to broadcast."""
+    found = mwe.detect(_sentences(spark, sf_dir), _entries(spark, sf_dir), most_bytes=0)
+    return _shown(found).select("sent_id", "id", "phrase", "token_ids", "surface")
+
+
 def overlap_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The delivered matches that no overlapping one beats; ties go to the smaller id."""
     rows = table(spark, sf_dir, "mwe_matches").where("token_ids is not null and size(token_ids) > 0 and id is not null")
@@ -96,7 +106,7 @@ def result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (candidates, match_entries, arc_gate, surfaces, detect_mwes, overlap_resolution, sentence_stats, tag_profile, feats_problems, result_lines)
+    for f in (candidates, match_entries, arc_gate, surfaces, detect_mwes, detect_large_lexicon, overlap_resolution, sentence_stats, tag_profile, feats_problems, result_lines)
 }
 
 _CELLS = "id, coalesce(word, '') AS word, coalesce(lemma, '') AS lemma, coalesce(head, 0) AS head, coalesce(rel, '') AS rel, coalesce(upos, '') AS upos, coalesce(feats, '') AS feats"
@@ -149,6 +159,7 @@ SQL = {
     "arc_gate": f"{_WITH} SELECT sent_id, entry_idx, passes FROM g WHERE phrasal",
     "surfaces": f"{_WITH} SELECT sent_id, entry_idx, {_ROW} FROM g WHERE NOT phrasal OR passes",
     "detect_mwes": f"{_WITH}, {_KEPT} SELECT sent_id, id, pos, phrase, definition, CASE WHEN len(categories) = 0 THEN '' ELSE array_to_string(categories, '|') END AS categories, {_ROW} FROM kept",
+    "detect_large_lexicon": f"{_WITH}, {_KEPT} SELECT sent_id, id, phrase, {_NUMBERS('list_transform(path, lambda x: x + 1)')} AS token_ids, {_SURFACE} AS surface FROM kept",
     "sentence_stats": f"{_WITH}, {_KEPT} SELECT sent_id, len(s.words)::int AS words, count(kept.id)::int AS mwes FROM s LEFT JOIN kept USING (sent_id) GROUP BY sent_id, s.words",
     "overlap_resolution": f"""WITH g AS (SELECT DISTINCT sent_id, id AS entry_idx, token_ids AS path FROM mwe_matches WHERE len(token_ids) > 0 AND id IS NOT NULL)
 SELECT sent_id, entry_idx AS id, {_NUMBERS('path')} AS token_ids FROM g WHERE NOT EXISTS (SELECT 1 FROM g o WHERE {_BEATS})""",

@@ -6,6 +6,8 @@ import itertools
 import os
 import subprocess
 import sys
+import time
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -61,6 +63,55 @@ def test_nested_cycles_are_trees():
             assert v == 0
 
 
+def _plain_tree(score):
+    """Heads by the textbook recursion over dictionaries: another way to the same tree."""
+
+    def solve(nodes, root, arcs):
+        best = {v: max((w, -u, u) for (u, x), w in arcs.items() if x == v) for v in nodes if v != root}
+        head = {v: b[2] for v, b in best.items()}
+        for s in nodes:
+            path, v = [], s
+            while v != root and v not in path:
+                path.append(v)
+                v = head[v]
+            if v != root:
+                cycle = set(path[path.index(v) :])
+                new = max(nodes) + 1
+                inner, joined = {}, {}
+                for (u, x), w in sorted(arcs.items()):
+                    a, b = (new if u in cycle else u), (new if x in cycle else x)
+                    value = w - best[x][0] if x in cycle else w
+                    if a != b and ((a, b) not in joined or value > joined[a, b]):
+                        joined[a, b], inner[a, b] = value, (u, x)
+                tree = solve([n for n in nodes if n not in cycle] + [new], root, joined)
+                out = {k: v for k, v in head.items() if k in cycle}
+                for b, a in tree.items():
+                    u, x = inner[a, b]
+                    out[x] = u
+                return out
+        return head
+
+    n = len(score)
+    return solve(list(range(n)), 0, {(u, v): float(score[u, v]) for u in range(n) for v in range(1, n) if u != v})
+
+
+@pytest.mark.parametrize("n", [6, 12, 25, 40])
+def test_against_another_algorithm(n):
+    rng = np.random.default_rng(n)
+    for _ in range(10):
+        score = rng.integers(0, 4096, (n, n)).astype(np.float32)  # exact in either precision
+        head = decode.arborescence(score)
+        other = _plain_tree(score)
+        assert sum(score[head[v], v] for v in range(1, n)) == sum(score[other[v], v] for v in range(1, n))
+        assert all(_reaches_root(head, v) for v in range(n))
+
+
+def _reaches_root(head, v):
+    for _ in range(len(head)):
+        v = head[v]
+    return v == 0
+
+
 def test_argmax_and_labels(spark):
     df = spark.createDataFrame([([1.0, 3.0, 3.0],), ([],), (None,)], "x array<double>")
     assert [r[0] for r in df.select(decode.argmax(F.col("x"))).collect()] == [2, 0, None]
@@ -105,6 +156,55 @@ def test_scorer_errors_do_not_fail_the_task(spark):
     assert [t.upos for t in rows[1].tokens] == ["C", "C", "C"] and rows[2].error == "no" and rows[3].tokens == [] and rows[4].tokens == []
 
 
+def _loader(log):
+    """What loads a stand-in for a model: the score of an arc is the first subword of the dependent plus the place of the head."""
+
+    class Session:
+        def get_outputs(self):
+            return [SimpleNamespace(name="s_arc"), SimpleNamespace(name="s_pos")]
+
+        def get_inputs(self):
+            return [SimpleNamespace(shape=["batch", "words", "subwords"])]
+
+        def run(self, names, feeds):
+            grid = feeds["subwords"]
+            if (grid == 666).any():
+                raise ValueError("bad subword")
+            return [grid[:, :, :1] + np.arange(grid.shape[1])[None, None, :], grid[:, :, :1] * 1.0]
+
+    def load(model_path, tokenizer_path, options):
+        with open(log, "a") as f:
+            f.write(f"{os.getpid()}\n")
+        return Session(), SimpleNamespace(encode=lambda w, add_special_tokens: SimpleNamespace(ids=[int(w)]))
+
+    return load
+
+
+def test_models_are_loaded_once_a_worker(spark, tmp_path):
+    log = str(tmp_path / "loads")
+    scorer = annotate.OnnxScorer("m", log, load=_loader(log))
+    rows = [(i, [str(i + k) for k in range(i % 5)]) for i in range(200)] + [(999, ["666"])]
+    df = spark.createDataFrame(rows, "k int, words array<string>").repartition(32)
+    got = {r.k: r for r in annotate.score(df, scorer, "k int").collect()}
+    loads = open(log).read().split()
+    assert len(loads) == len(set(loads)) <= 8  # processes, not tasks
+    assert got[999].error == "bad subword" and got[0].s_arc == [] and sum(r.error is not None for r in got.values()) == 1
+    for k, words in rows[:-1]:
+        if words:
+            assert [r[0] for r in got[k].s_arc] == [1.0] + [float(w) for w in words] and got[k].s_arc[1][1] == float(words[0]) + 1
+
+
+def test_idle_models_are_freed(tmp_path):
+    models, loads = annotate._Models(), []
+    get = lambda: models.get("m", lambda: loads.append(1) or "model", 0.3)
+    for _ in range(4):
+        assert get() == "model"
+        time.sleep(0.1)
+    assert len(loads) == 1 and models.loaded
+    time.sleep(0.6)
+    assert not models.loaded and get() == "model" and len(loads) == 2
+
+
 def test_session_options():
     o = annotate.SessionOptions.from_env({"PARSER_CPU_ARENA": "0", "PARSER_IDLE_UNLOAD_SECS": "-1", "PARSER_INTRA_THREADS": "3"})
     assert (o.cpu_arena, o.idle_unload_seconds, o.intra_threads, o.mem_pattern) == (False, 300.0, 3, True)
