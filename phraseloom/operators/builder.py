@@ -6,7 +6,7 @@ import tomllib
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from phraseloom.functions import hashing, pattern, text
@@ -127,6 +127,11 @@ def build(entries: DataFrame, config: BuilderConfig, order: list[str]) -> DataFr
     )
 
 
+def observed(entries: DataFrame, observation: Observation) -> DataFrame:
+    """Dump entries that count themselves as they are scanned: a running job reports them, and ``observation.get`` at its end."""
+    return entries.observe(observation, F.count("*").alias("scanned"), F.count("word").alias("with_word"))
+
+
 def build_stats(entries: DataFrame, config: BuilderConfig, order: list[str]) -> DataFrame:
     """One row: lines scanned, entries written, headwords skipped as too short."""
     firsts = first_per_word(with_types(in_language(entries, config), config), config, order)

@@ -136,7 +136,8 @@ def run(entries: DataFrame, corrections_path: str, ask: Callable[[str], str], or
 
     Batches are asked in waves of ``flush_batches`` (one at a time under a rate
     limit, else as many as the cluster runs tasks), and the lines of a wave are
-    appended before the next begins.  If a call fails for good, the answers of
+    appended before the next begins.  If a call fails for good, or its answer
+    holds no labels, the other answers of
     its wave are appended all the same, then the error is raised: no answered
     batch is ever asked again, as a second run begins with what the folder
     lacks.  The driver keeps three sums; waves are as few as calls allow.
@@ -155,7 +156,9 @@ def run(entries: DataFrame, corrections_path: str, ask: Callable[[str], str], or
         part = batched.where(F.col("batch").between(start, start + wave - 1))
         if per_minute > 0 and waited:
             time.sleep(max(0.0, waited + 60.0 / per_minute - time.monotonic()))
-        answers = cut_lineage(classify(prompts(part), ask, per_minute, keep_errors=True))
+        answers = classify(prompts(part), ask, per_minute, keep_errors=True)
+        unreadable = F.when(labels_of(F.col("answer")).isNull(), F.concat(F.lit("no labels in the answer: "), F.left("answer", F.lit(300))))
+        answers = cut_lineage(answers.withColumn("error", F.coalesce("error", unreadable)))
         waited = time.monotonic()
         answered = part.join(answers.where("error is null").select("batch"), "batch", "left_semi")
         lines = cut_lineage(relabel(answered, labels_in(answers.where("error is null")), "place"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phraseloom.plans import decode_queries, lexicon_queries, mwe_queries, nested_queries, pipeline_queries, text_queries
+from phraseloom.plans import decode_queries, file_queries, lexicon_queries, mwe_queries, nested_queries, pipeline_queries, text_queries
 
-_MODULES = (nested_queries, text_queries, lexicon_queries, mwe_queries, decode_queries, pipeline_queries)
+_MODULES = (nested_queries, text_queries, lexicon_queries, mwe_queries, decode_queries, pipeline_queries, file_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

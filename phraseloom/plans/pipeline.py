@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from phraseloom.operators import annotate, mwe
@@ -34,3 +34,15 @@ def as_answers(results: DataFrame, key: str, index: str) -> DataFrame:
     body = F.to_json(F.struct("tokens", "mwes"), {"ignoreNullFields": "false"})
     cells = F.struct(F.col(index).alias("i"), F.struct(body.alias("result"), F.col("error").alias("error")).alias("r"))
     return results.groupBy(key).agg(F.array_sort(F.collect_list(cells)).alias("_l")).select(key, F.transform("_l", lambda x: x["r"]).alias("results"))
+
+
+def observed(results: DataFrame, observation: Observation) -> DataFrame:
+    """``results`` of ``parse`` that count themselves as they are written: sentences, words, mwes and errors, read from ``observation.get``."""
+    error = F.count_if(F.col("error").isNotNull()) if "error" in results.columns else F.lit(0)
+    return results.observe(
+        observation,
+        F.count("*").alias("sentences"),
+        F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("words"),
+        F.coalesce(F.sum(F.size("mwes")), F.lit(0)).alias("mwes"),
+        error.alias("errors"),
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phraseloom.functions import pattern, text
+from phraseloom.functions import pattern, register, text
 from phraseloom.plans import sqltext as S
 from phraseloom.sources.tables import table
 
@@ -43,8 +43,23 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.groupBy("token").agg(F.count("*").alias("n"))
 
 
+def sql_tokenize_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line's tokens by the registered table function."""
+    register.register(spark)
+    lines = "SELECT doc_id, t.line_no, array_join(t.tokens, '␟') AS tokens FROM {docs}, LATERAL ml_tokenize_lines(text) t"
+    return spark.sql(lines, docs=table(spark, sf_dir, "documents"))
+
+
+def sql_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lemmas of all words by the registered function."""
+    register.register(spark)
+    return spark.sql("SELECT DISTINCT word, ml_lemma(word) AS lemma FROM {tokens}", tokens=table(spark, sf_dir, "parsed_tokens"))
+
+
 def contractions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(s,) for s in SAMPLES], "sentence string")
+    """Tokens of every sentence of the requests, and of samples of each kind."""
+    samples = spark.createDataFrame([(s,) for s in SAMPLES], "sentence string")
+    rows = table(spark, sf_dir, "parse_requests").select(F.explode("sentences").alias("sentence")).where("sentence is not null").unionByName(samples).distinct()
     return rows.select("sentence", F.array_join(text.tokenize(F.col("sentence")), "␟").alias("tokens"))
 
 
@@ -92,7 +107,10 @@ def element_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lemma_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(PAIRS, "a string, b string")
+    """Every pair of a word in lower case and its lemma, and pairs of each kind."""
+    given = spark.createDataFrame(PAIRS, "a string, b string")
+    words = table(spark, sf_dir, "parsed_tokens").where("word is not null and lemma is not null").select(F.lower("word").alias("a"), F.col("lemma").alias("b"))
+    rows = words.unionByName(given).distinct()
     return rows.select("a", "b", pattern.lemma_eq(F.col("a"), F.col("b")).alias("equal"))
 
 
@@ -104,7 +122,7 @@ def sentence_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        tokenize_docs, tokenize_lines, token_json, token_counts, contractions, lemma_vocab, lemma_verb_gate, lemma_agreement, slot_tokens, phrase_elements, element_plan,
+        tokenize_docs, tokenize_lines, token_json, token_counts, sql_tokenize_lines, sql_lemmas, contractions, lemma_vocab, lemma_verb_gate, lemma_agreement, slot_tokens, phrase_elements, element_plan,
         lemma_equality, sentence_trim,
     )
 }
@@ -128,7 +146,7 @@ FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS l FROM documents
     "token_json": f"""SELECT doc_id, line_no, to_json({S.tokenize('line')})::varchar AS tokens FROM (SELECT doc_id, (generate_subscripts(l, 1) - 1)::int AS line_no, unnest(l) AS line
 FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS l FROM documents WHERE text IS NOT NULL))""",
     "token_counts": f"SELECT token, count(*) AS n FROM (SELECT unnest({S.tokenize('text')}) AS token FROM documents) GROUP BY token",
-    "contractions": f"SELECT sentence, CASE WHEN len(t) = 0 THEN '' ELSE array_to_string(t, {_US}) END AS tokens FROM (SELECT sentence, {S.tokenize('sentence')} AS t FROM {_values(SAMPLES, 'sentence')})",
+    "contractions": f"SELECT sentence, CASE WHEN len(t) = 0 THEN '' ELSE array_to_string(t, {_US}) END AS tokens FROM (SELECT sentence, {S.tokenize('sentence')} AS t FROM (SELECT unnest(sentences) AS sentence FROM parse_requests UNION SELECT sentence FROM {_values(SAMPLES, 'sentence')}) WHERE sentence IS NOT NULL)",
     "lemma_vocab": f"SELECT word, CASE WHEN word IS NOT NULL THEN {S.lemma('word')} END AS lemma FROM (SELECT DISTINCT word FROM parsed_tokens)",
     "lemma_verb_gate": f"SELECT word, is_verb, CASE WHEN word IS NOT NULL THEN {S.lemma('word', 'is_verb')} END AS lemma FROM (SELECT DISTINCT word, coalesce(upos = 'VERB', false) AS is_verb FROM parsed_tokens)",
     "lemma_agreement": f"""WITH l AS (SELECT word, {S.lemma('word')} AS rule FROM (SELECT DISTINCT word FROM parsed_tokens WHERE word IS NOT NULL))
@@ -138,8 +156,9 @@ SELECT upos, count(*) AS n, count(*) FILTER (WHERE rule = lemma) AS same FROM pa
     "element_plan": f"""SELECT rec_id, coalesce(array_to_string(list_transform({S.plan('elements')}, lambda s: s.w || ':' || s.gap || ':' || s.slot), ' '), '') AS steps,
 len({_WORDS})::int AS n_fixed, {_WORDS}[1][2] AS first_lemma, len({_WORDS}) < len(elements) AS has_slot,
 len(list_filter({_WORDS}, lambda e: lower(e[2]) NOT IN {S.qs(S.C.CLOSED_CLASS)})) > 0 AS has_content FROM lexicon_rows""",
-    "lemma_equality": f"SELECT a, b, {S.lemma_eq('a', 'b')} AS equal FROM {_values(PAIRS, 'a, b')}",
+    "lemma_equality": f"SELECT a, b, {S.lemma_eq('a', 'b')} AS equal FROM (SELECT lower(word) AS a, lemma AS b FROM parsed_tokens WHERE word IS NOT NULL AND lemma IS NOT NULL UNION SELECT a, b FROM {_values(PAIRS, 'a, b')})",
     "sentence_trim": f"""SELECT req_no, loaded_us, i::int AS sent_index, {S.trim('s')} AS sentence,
 CASE WHEN s IS NULL THEN NULL ELSE len(list_filter(regexp_split_to_array(s, {S.q(f'[{S.C.BLANK}]+')}), lambda w: w <> ''))::int END AS n_words
 FROM (SELECT req_no, epoch_us(loaded_at) AS loaded_us, generate_subscripts(sentences, 1) - 1 AS i, unnest(sentences) AS s FROM parse_requests)""",
 }
+SQL |= {"sql_tokenize_lines": SQL["tokenize_lines"], "sql_lemmas": SQL["lemma_vocab"]}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import numpy as np
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 from test_mwe import _lexicon
 
@@ -48,6 +49,9 @@ def test_parse_and_events(spark, tmp_path):
     assert [t.rel for t in rows[10].tokens] == ["root", "dep", "dep"] and [t.head for t in rows[10].tokens] == [0, 1, 1]
     assert [t.feats for t in rows[10].tokens] == ["_", "Number=Plur", "Number=Plur"] and [m.phrase for m in rows[10].mwes] == ["spill the beans"]
     assert rows[11].tokens == rows[14].tokens == rows[12].tokens == [] and rows[12].error == "too loud"
+    seen = Observation()
+    pipeline.observed(results, seen).write.format("noop").mode("overwrite").save()
+    assert seen.get == {"sentences": 5, "words": 6, "mwes": 2, "errors": 1}
     answers = pipeline.as_answers(results.join(sentences.select("sent_id", "req", "i"), "sent_id"), "req", "i")
     by: dict = {}
     for r in events.request_events(answers, "req").orderBy("req", "seq").collect():

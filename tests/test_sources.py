@@ -209,6 +209,46 @@ def test_no_answered_batch_is_asked_again(spark, tmp_path):
     assert sorted(int(x) for x in open(calls).read().split()) == [0, 50, 100, 150] and spark.read.text(path).count() == 190
 
 
+def test_http_classifier():
+    """Request and response over a local server; status codes show in errors, so busy servers are asked again."""
+    import http.server
+    import threading
+
+    from phraseloom.sources.http_model import HttpClassifier
+
+    seen, codes = [], [503, 200, 400]
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            seen.append((self.path, json.loads(self.rfile.read(int(self.headers["content-length"])))))
+            self.send_response(codes.pop(0))
+            self.end_headers()
+            self.wfile.write(b'{"candidates": []}')
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    env = {"LLM_API_KEY": "k", "LLM_MODEL": "m", "LLM_RPM": " 30 ", "LLM_URL": f"http://127.0.0.1:{server.server_port}/v1/{{model}}?key={{key}}"}
+    ask = HttpClassifier.from_env("LLM_", env)
+    assert ask.per_minute == 30 and HttpClassifier.from_env("LLM_", env | {"LLM_RPM": "x"}).per_minute == 0
+    assert reclassify.with_retries(ask, "which?", (1,), lambda s: None) == '{"candidates": []}'
+    assert seen[0][0] == "/v1/m?key=k" and seen[1][1]["contents"][0]["parts"][0]["text"] == "which?" and seen[0][1]["generationConfig"]["temperature"] == 0
+    with pytest.raises(RuntimeError, match="http 400"):
+        reclassify.with_retries(ask, "which?", (1,), lambda s: None)
+    server.shutdown()
+    with pytest.raises(ValueError, match="API_KEY"):
+        HttpClassifier.from_env("LLM_", {})
+
+
+def test_unreadable_answers_are_errors(spark, tmp_path):
+    entries = spark.createDataFrame([(1, "p", None, ["idiom"], 1)], "id bigint, phrase string, definition string, categories array<string>, k int")
+    with pytest.raises(RuntimeError, match="batch 0: no labels in the answer: sorry"):
+        reclassify.run(entries, str(tmp_path / "c"), lambda p: "sorry", ["k"])
+    assert spark.read.text(str(tmp_path / "c")).count() == 0
+
+
 def test_numbering_over_partitions(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k")).repartition(7)
     assert all(r.k == r.n for r in lexicon.numbered(df, ["k"], "n").collect())
