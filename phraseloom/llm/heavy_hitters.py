@@ -26,6 +26,21 @@ class SketchShape:
     def cells(self) -> int:
         return len(self.bits) * self.depth * self.width
 
+    @classmethod
+    def fit(cls, one_in: int) -> SketchShape:
+        """Wide enough for values that one in ``one_in`` rows hold: eight counters for each that there can be, in every row."""
+        width = max(4096, 1 << (8 * one_in - 1).bit_length())
+        if cls(width=width).cells() > MOST_CELLS:
+            raise ValueError(f"one in {one_in} rows takes {cls(width=width).cells():,} counters; give a shape to take more than {MOST_CELLS:,}")
+        return cls(width=width)
+
+
+#: Counters that a task and the driver hold unless a shape is given: half a gigabyte.
+MOST_CELLS = 1 << 26
+
+#: Heavy prefixes that are compared as literals; more are joined as a broadcast table.
+MOST_LITERALS = 1000
+
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9], np.uint64)
 
@@ -104,17 +119,21 @@ def descend(counts: np.ndarray, least: float, shape: SketchShape) -> dict[int, i
     before = 0
     for level, bits in enumerate(shape.bits):
         step = bits - before
-        children = ((heavy[:, None] << np.uint64(step)) | np.arange(1 << step, dtype=np.uint64)[None, :]).reshape(-1)
         second = float(np.median((counts[level].astype(np.float64) ** 2).sum(axis=1)))
         slack = 4 * math.sqrt(second / shape.width)
         floor = max(least - slack, least / 2, 1.0)
-        guess = estimate(counts, level, children, shape)
-        keep = guess >= floor
-        heavy, before, kept = children[keep], bits, guess[keep]
+        found, guesses = [], []
+        for at in range(0, len(heavy), 4096):  # a bounded number of children at a time
+            part = heavy[at : at + 4096]
+            children = ((part[:, None] << np.uint64(step)) | np.arange(1 << step, dtype=np.uint64)[None, :]).reshape(-1)
+            guess = estimate(counts, level, children, shape)
+            found.append(children[guess >= floor])
+            guesses.append(guess[guess >= floor])
+        heavy, before, kept = np.concatenate(found or [heavy]), bits, np.concatenate(guesses or [np.zeros(0)])
     return dict(zip(heavy.tolist(), kept.astype(np.int64).tolist()))
 
 
-def frequent(df: DataFrame, value: str, one_in: int, least_rows: int = 1, shape: SketchShape = SketchShape()) -> DataFrame:
+def frequent(df: DataFrame, value: str, one_in: int, least_rows: int = 1, shape: SketchShape | None = None) -> DataFrame:
     """(item, estimate, n): each value that at least one in ``one_in`` of the rows with a value hold, and at least ``least_rows``.
 
     First scan: a hierarchical count-sketch with signed hashes over prefixes
@@ -122,19 +141,24 @@ def frequent(df: DataFrame, value: str, one_in: int, least_rows: int = 1, shape:
     more than about 2 * ``one_in`` survive.  Second scan: only rows whose hash
     has a heavy prefix are counted exactly (with partial sums, so a value that
     a third of the rows hold is combined before the shuffle), which drops
-    false candidates.
+    false candidates.  Beyond ``MOST_LITERALS`` prefixes are a broadcast table,
+    which ``one_in`` bounds.
 
     Nulls do not count, neither as values nor as rows; the empty string is a
     value; values are compared exactly; ties are all kept; an empty table
     gives no row.
     """
+    shape = shape or SketchShape.fit(one_in)
     total, counts = sketch(df, value, shape)
     least = max(least_rows, -(-total // one_in))
     heavy = descend(counts, float(least), shape) if total else {}
-    bits = shape.bits[-1]
-    prefix = F.shiftrightunsigned(F.xxhash64(value), 64 - bits)
-    guesses = F.create_map(*[F.lit(x) for pair in heavy.items() for x in pair]) if heavy else None
-    rows = df.where(F.col(value).isNotNull() & (prefix.isin(*heavy) if heavy else F.lit(False)))
-    found = rows.groupBy(F.col(value).alias("item")).agg(F.count("*").alias("n")).where(F.col("n") >= F.lit(least))
-    key = F.shiftrightunsigned(F.xxhash64("item"), 64 - bits)
-    return found.select("item", (F.try_element_at(guesses, key) if heavy else F.lit(0).cast("bigint")).alias("estimate"), "n")
+    prefix = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - shape.bits[-1])
+    rows = df.where(F.col(value).isNotNull()).select(F.col(value).alias("item"))
+    count = lambda rows: rows.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= F.lit(least))
+    if len(heavy) > MOST_LITERALS:
+        known = F.broadcast(df.sparkSession.createDataFrame(list(heavy.items()), "_prefix bigint, estimate bigint"))
+        found = count(rows.withColumn("_prefix", prefix("item")).join(known.select("_prefix"), "_prefix", "left_semi"))
+        return found.withColumn("_prefix", prefix("item")).join(known, "_prefix").select("item", "estimate", "n")
+    found = count(rows.where(prefix("item").isin(*heavy) if heavy else F.lit(False)))
+    guesses = F.create_map(*[F.lit(x).cast("bigint") for pair in heavy.items() for x in pair]) if heavy else None
+    return found.select("item", (F.try_element_at(guesses, prefix("item")) if heavy else F.lit(0).cast("bigint")).alias("estimate"), "n")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -51,11 +52,13 @@ class LastSeen:
         self.last[known] = record[tails]
         self.seen[known] = True
 
-    def batch(self) -> pa.RecordBatch:
-        n = len(self.code)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(self.code), pa.string()), pa.array(self.occurrences[:n]), pa.array(self.records[:n])], ["term", "occurrences", "records"]
-        )
+    def batches(self, size: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+        """All terms and their counters, in slices."""
+        terms = iter(self.code)
+        for at in range(0, len(self.code), size):
+            names = list(islice(terms, size))
+            end = at + len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(self.occurrences[at:end]), pa.array(self.records[at:end])], ["term", "occurrences", "records"])
 
 
 def term_counts(tokens: DataFrame, term: str, record: str) -> DataFrame:
@@ -84,9 +87,8 @@ def term_counts(tokens: DataFrame, term: str, record: str) -> DataFrame:
                 if not batch.num_rows:
                     continue
             counters.add(batch.column(0), batch.column(1).to_numpy())
-        yield counters.batch()
-        rest = loose.batch()
-        if rest.num_rows:
+        yield from counters.batches()
+        for rest in loose.batches():
             yield rest.set_column(2, "records", pa.array(np.zeros(rest.num_rows, np.int64)))
 
     parts_of_a_term = max(SALTS, int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")))

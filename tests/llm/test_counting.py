@@ -4,9 +4,11 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from phraseloom.llm.heavy_hitters import SketchShape, _add, descend, frequent
-from phraseloom.llm.term_counts import marked, term_counts
+from phraseloom.llm.term_counts import LastSeen, marked, term_counts
 
 
 def test_frequent_values(spark):
@@ -68,3 +70,24 @@ def test_many_heavy_values_survive_the_descent():
         counts = np.zeros((len(shape.bits), shape.depth, shape.width), np.int64)
         _add(counts, np.repeat(values, 100), shape)
         assert set((values >> np.uint64(64 - shape.bits[-1])).tolist()) <= set(descend(counts, 90.0, shape))
+
+
+def test_many_heavy_values(spark, monkeypatch):
+    """Shapes widen with the number of values that can be heavy; many prefixes are joined, with the same result."""
+    import phraseloom.llm.heavy_hitters as module
+
+    assert SketchShape.fit(200).width == 4096 and SketchShape.fit(5000).width == 65536
+    with pytest.raises(ValueError, match="counters"):
+        SketchShape.fit(10**6)
+    df = spark.range(6000).selectExpr("concat('w', id % 1500) as word", "'x' as item")
+    plain = {tuple(r) for r in frequent(df, "word", 2000).collect()}
+    assert len(plain) == 1500 and {r[2] for r in plain} == {4}
+    monkeypatch.setattr(module, "MOST_LITERALS", 10**6)
+    assert {(i, n) for i, _, n in (tuple(r) for r in frequent(df, "word", 2000).collect())} == {(i, n) for i, _, n in plain}
+
+
+def test_counters_come_in_slices():
+    counters = LastSeen()
+    counters.add(pa.array([f"t{i}" for i in range(2500)]), np.zeros(2500, np.int64))
+    parts = list(counters.batches(1000))
+    assert [p.num_rows for p in parts] == [1000, 1000, 500] and parts[2].column(0)[499].as_py() == "t2499" and not list(LastSeen().batches())
