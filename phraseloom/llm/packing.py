@@ -137,8 +137,17 @@ class Index:
         return np.bincount(np.concatenate([self.doc[s] for s in spans]), weights=np.concatenate([self.weight[s] for s in spans]), minlength=self.n)
 
 
+#: How a part came into its container: cut from a text above the capacity, as its seed, as a neighbour of the seed, or by its size.
+PLACED = ("cut", "seed", "neighbour", "size")
+
+
 def pack_shard(sizes: np.ndarray, capacity: int, index: Index | None) -> tuple[np.ndarray, ...]:
-    """(document, part, first token, tokens, container) of every part of one shard's documents.
+    """(document, part, first token, tokens, container) of every part of one shard's documents (see ``placed_shard``)."""
+    return placed_shard(sizes, capacity, index)[:5]
+
+
+def placed_shard(sizes: np.ndarray, capacity: int, index: Index | None) -> tuple[np.ndarray, ...]:
+    """(document, part, first token, tokens, container, place in ``PLACED``) of every part of one shard's documents.
 
     A document above the capacity is cut into parts of the capacity, each in a
     container of its own, and a rest that is packed like a whole document.
@@ -151,7 +160,7 @@ def pack_shard(sizes: np.ndarray, capacity: int, index: Index | None) -> tuple[n
     doc = np.repeat(np.arange(n), cut)
     part = np.concatenate([np.arange(c) for c in cut]) if cut.any() else np.zeros(0, np.int64)
     first = part * capacity
-    out = [(doc, part, first, np.full(len(doc), capacity), np.arange(len(doc)))]
+    out = [(doc, part, first, np.full(len(doc), capacity), np.arange(len(doc)), np.zeros(len(doc), np.int64))]
     container = len(doc)
 
     order = np.argsort(-item, kind="stable")  # ties: the order in which documents came
@@ -170,19 +179,21 @@ def pack_shard(sizes: np.ndarray, capacity: int, index: Index | None) -> tuple[n
 
     docs_out: list[int] = []
     containers_out: list[int] = []
+    how_out: list[int] = []
 
-    def take(d: int) -> int:
+    def take(d: int, how: int) -> int:
         free[d] = False
         p = int(position[d])
         after[p] = p + 1
         docs_out.append(d)
         containers_out.append(container)
+        how_out.append(how)
         return int(item[d])
 
     seed_at = unused(0)
     while seed_at < len(order):
         seed = int(order[seed_at])
-        room = capacity - take(seed)
+        room = capacity - take(seed, 1)
         smallest = int(item[order[-1]])
         if index is not None and room >= smallest:
             score = index.scores(seed)
@@ -190,23 +201,23 @@ def pack_shard(sizes: np.ndarray, capacity: int, index: Index | None) -> tuple[n
             near = near[np.argsort(-score[near], kind="stable")]
             while len(near):
                 d = int(near[0])
-                room -= take(d)
+                room -= take(d, 2)
                 near = near[1:]
                 near = near[item[near] <= room]
         while room >= smallest:
             p = unused(int(np.searchsorted(ranked, -room)))
             if p >= len(order):
                 break
-            room -= take(int(order[p]))
+            room -= take(int(order[p]), 3)
         container += 1
         seed_at = unused(seed_at)
     d = np.array(docs_out, np.int64)
-    out.append((d, cut[d], cut[d] * capacity, item[d], np.array(containers_out, np.int64)))
+    out.append((d, cut[d], cut[d] * capacity, item[d], np.array(containers_out, np.int64), np.array(how_out, np.int64)))
     return tuple(np.concatenate(column) for column in zip(*out))
 
 
 def pack(docs: DataFrame, id_col: str, text_col: str, containers: Sequence[Container], shard_docs: int = 4096, bm25: Bm25 = Bm25()) -> DataFrame:
-    """(pack_kind, id, part, first_token, n_tokens, shard, container): where each text goes, for each kind.
+    """(pack_kind, id, part, first_token, n_tokens, shard, container, placed): where each text goes, for each kind, and how (see ``PLACED``).
 
     A container is told apart by (pack_kind, shard, container).  Each text is
     whole in one container unless it alone exceeds the capacity; then it is cut
@@ -223,7 +234,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str, containers: Sequence[Conta
     files = docs.sparkSession.sparkContext.broadcast([read_vocabulary(p) for p in paths])
     id_type = docs.schema[id_col].dataType.simpleString()
     at = [paths.index(c.vocabulary_path) for c in containers]
-    names = ["pack_kind", id_col, "part", "first_token", "n_tokens", "shard", "container"]
+    names = ["pack_kind", id_col, "part", "first_token", "n_tokens", "shard", "container", "placed"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _once(f"pack {paths}", lambda: Vocabulary([load_counter(p, b) for p, b in zip(paths, files.value)]))
@@ -244,7 +255,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str, containers: Sequence[Conta
             index = Index(terms, bm25)
             for kind, column in zip(containers, at):
                 own = measured[:, column]
-                doc, part, first, n, container = pack_shard(own, kind.capacity, index)
+                doc, part, first, n, container, how = placed_shard(own, kind.capacity, index)
                 nothing = np.flatnonzero(own == 0)
                 zeros = np.zeros(len(nothing), np.int64)
                 place = pa.concat_arrays([pa.array(container, pa.int64()), pa.nulls(len(nothing), pa.int64())])
@@ -255,6 +266,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str, containers: Sequence[Conta
                         *[pa.array(np.append(column, zeros).astype(np.int32)) for column in (part, first, n)],
                         pa.array(np.full(len(doc) + len(nothing), base + number)),
                         place,
+                        pa.array([PLACED[h] for h in how.tolist()] + [None] * len(nothing), pa.string()),
                     ],
                     names,
                 )
@@ -274,5 +286,5 @@ def pack(docs: DataFrame, id_col: str, text_col: str, containers: Sequence[Conta
         if texts:
             yield from emit(pa.concat_arrays(ids), texts, number)
 
-    schema = f"pack_kind string, {id_col} {id_type}, part int, first_token int, n_tokens int, shard bigint, container bigint"
+    schema = f"pack_kind string, {id_col} {id_type}, part int, first_token int, n_tokens int, shard bigint, container bigint, placed string"
     return docs.select(id_col, text_col).mapInArrow(run, schema)

@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_roundtrip": D.p7_roundtrip,
         "p8_assign": D.p8_assign,
         "p8_fill": D.p8_fill,
+        "p8_whole": D.p8_whole,
         "p9_found": D.p9_found,
         "p9_cuts": D.p9_cuts,
         "p9_sources": D.p9_sources,
@@ -46,6 +47,7 @@ def oracle_sql() -> dict[str, str]:
         "p6_found": queries_p6.P6_SQL,
         "p6_terms": queries_p6.P6_TERMS_SQL,
         "p7_roundtrip": "SELECT doc_id, true AS same FROM documents",
+        "p8_whole": "SELECT pack_kind, (SELECT count(*) FROM documents) AS documents, 0 AS wrong, 0 AS overfull FROM pack_sizes",
         "p9_found": D.P9_SQL,
         "p9_cuts": D.P9_CUTS_SQL,
         "p9_sources": D.P9_SOURCES_SQL,

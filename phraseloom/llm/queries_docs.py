@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phraseloom.llm import packing, tokenizers, truncation
+from phraseloom.plans.lineage import cut_lineage
 from phraseloom.sources.tables import table
 
 #: File of each tokenizer that the tables name.
@@ -44,18 +45,37 @@ def p8_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How full the containers of each kind are."""
+    """How full the containers of each kind are, and what share of the texts' tokens came by retrieval or by size alone."""
     parts = p8_assign(spark, sf_dir).where("container is not null")
-    each = parts.groupBy("pack_kind", "shard", "container").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("items"))
+    tokens = lambda how: F.sum(F.when(F.col("placed") == how, F.col("n_tokens")).otherwise(0))
+    each = parts.groupBy("pack_kind", "shard", "container").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("items"), tokens("neighbour").alias("near"), tokens("size").alias("sized"))
     sizes = table(spark, sf_dir, "pack_sizes").select("pack_kind", "capacity")
     return (
         each.groupBy("pack_kind")
-        .agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"), F.sum("items").alias("items"))
+        .agg(F.count("*").alias("containers"), *[F.sum(c).alias(c) for c in ("tokens", "items", "near", "sized")], F.max("tokens").alias("fullest"))
         .join(sizes, "pack_kind")
-        .withColumn("filled", F.col("tokens") / (F.col("containers") * F.col("capacity")))
+        .withColumns({"filled": F.col("tokens") / (F.col("containers") * F.col("capacity")), "by_retrieval": F.col("near") / F.col("tokens"), "by_size": F.col("sized") / F.col("tokens")})
+        .drop("near", "sized")
     )
 
 
+def p8_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each kind's documents, those whose tokens are not all assigned once and in order, and containers above the capacity: the last two are 0."""
+    kinds = table(spark, sf_dir, "pack_sizes").select("pack_kind", "tokenizer", "capacity")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    sized = None
+    for name in sorted(r.tokenizer for r in kinds.select("tokenizer").distinct().collect()):  # a few names
+        one = tokenizers.token_sizes(docs, "doc_id", "text", vocabulary_path(spark, name)).withColumn("tokenizer", F.lit(name))
+        sized = one if sized is None else sized.unionByName(one)
+    assigned = cut_lineage(p8_assign(spark, sf_dir))
+    by_doc = assigned.groupBy("pack_kind", "doc_id").agg(F.sum("n_tokens").alias("n"), F.max(F.col("first_token") + F.col("n_tokens")).alias("end"), F.count("*").alias("parts"), F.max("part").alias("last"))
+    checked = sized.join(F.broadcast(kinds), "tokenizer").join(by_doc, ["pack_kind", "doc_id"], "left")  # a row for each kind
+    right = F.coalesce((F.col("n") == F.col("size")) & (F.col("end") == F.col("size")) & (F.col("parts") == F.col("last") + 1), F.lit(False))
+    boxes = assigned.where("container is not null").groupBy("pack_kind", "shard", "container").agg(F.sum("n_tokens").alias("n")).join(F.broadcast(kinds), "pack_kind")
+    over = boxes.groupBy("pack_kind").agg(F.count_if(F.col("n") > F.col("capacity")).alias("overfull"))
+    return checked.groupBy("pack_kind").agg(F.count("*").alias("documents"), F.count_if(~right).alias("wrong")).join(over, "pack_kind")
+
+
 def p9_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with whether and how its text was cut."""
     return truncation.truncated(table(spark, sf_dir, "documents"), "doc_id", "text", "source")

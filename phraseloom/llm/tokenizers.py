@@ -164,6 +164,20 @@ def encode(docs: DataFrame, id_col: str, text_col: str, rank_path: str) -> DataF
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {id_type}, ids array<int>")
 
 
+def token_sizes(docs: DataFrame, id_col: str, text_col: str, vocabulary_path: str) -> DataFrame:
+    """(id, size int): tokens of each text by either kind of vocabulary, each text given whole to the library; 0 for null and empty."""
+    vocabulary = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = _once(f"size {vocabulary_path}", lambda: load_counter(vocabulary_path, vocabulary.value))
+        for batch in batches:
+            sizes = [counter.first(t) if t else 0 for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32())], [id_col, "size"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {id_type}, size int")
+
+
 def decode(encoded: DataFrame, id_col: str, ids_col: str, rank_path: str) -> DataFrame:
     """(id, bytes): the raw bytes that the ids stand for; null ids give null, an empty list no bytes.
 

@@ -291,3 +291,35 @@ def test_every_kind_of_container_is_packed(spark, paths, tmp_path):
     kinds = [(f"k{i:03}", "byte_bpe_50k", 64) for i in range(103)]
     spark.createDataFrame(kinds, "pack_kind string, tokenizer string, capacity int").write.parquet(f"{tmp_path}/pack_sizes.parquet")
     assert sorted(r.pack_kind for r in p8_assign(spark, str(tmp_path)).collect()) == [k[0] for k in kinds]
+
+
+def test_neighbours_are_those_of_brute_force():
+    """The index ranks a shard's documents exactly as BM25 computed document by document."""
+    rng = np.random.default_rng(8)
+    docs = [rng.zipf(1.3, rng.integers(1, 120)) % 400 for _ in range(300)]
+    bm = packing.Bm25()
+    index = packing.Index(docs, bm)
+    mean, n = np.mean([len(d) for d in docs]), len(docs)
+    df = defaultdict(int)
+    for d in docs:
+        for t in set(d.tolist()):
+            df[t] += 1
+    hits = 0
+    for seed in range(0, n, 10):
+        terms = {t for t in docs[seed].tolist() if df[t] > 1}
+        want = np.zeros(n)
+        for i, d in enumerate(docs):
+            own = d.tolist()
+            for t in terms & set(own):
+                tf = own.count(t)
+                idf = np.log1p((n - df[t] + 0.5) / (df[t] + 0.5))
+                want[i] += idf * tf * (bm.k1 + 1) / (tf + bm.k1 * (1 - bm.b + bm.b * len(own) / mean))
+        assert np.allclose(index.scores(seed), want)
+        hits += len(set(np.argsort(-want, kind="stable")[:10]) & set(np.argsort(-index.scores(seed), kind="stable")[:10]))
+    assert hits >= 0.99 * 10 * len(range(0, n, 10))  # recall of the ten nearest
+
+
+def test_how_texts_are_placed():
+    docs = [np.array([1, 2, 3]), np.array([1, 2, 3]), np.array([9, 8]), np.zeros(0, np.int64)]
+    doc, _, _, n, _, how = packing.placed_shard(np.array([130, 30, 20, 0]), 100, packing.Index(docs, packing.Bm25()))
+    assert {(int(d), int(k), packing.PLACED[h]) for d, k, h in zip(doc, n, how)} == {(0, 100, "cut"), (0, 30, "seed"), (1, 30, "neighbour"), (2, 20, "size")}
