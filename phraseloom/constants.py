@@ -113,3 +113,34 @@ FEATS = {
     "Style": "Arch Coll Expr Slng Vrnc",
     "ExtPos": "ADP ADV CCONJ NOUN PRON PROPN SCONJ",
 }
+
+# Forms of tokens, in the order in which they are tried, as regular expressions (Java and RE2); {case} switches
+# to matching without regard to case, {abbreviations} and {prefixes} are alternatives of the lists above.
+TOKEN_FORMS = (
+    rf"https?://[^{BLANK}]+",
+    r"www\.[A-Za-z0-9][A-Za-z0-9.\-]*",
+    r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+",
+    r"(?:[A-Za-z]\.){2,}",
+    "({case}:{abbreviations})\\.",
+    r"[A-Z]\.",
+    r"\p{Nd}+(?:[.,:/]\p{Nd}+)+",
+    r"\p{Nd}+(?:-\p{Nd}+){2,}",
+    r"['’]\p{Nd}+(?:[A-Za-z]+)?",
+    r"\.{2,}",
+    r"…",
+    r"-{2,}",
+    r"\*{2,}",
+    "({case}:{prefixes})-[A-Za-z]+(?:['’][A-Za-z0-9]+)*",
+    r"[A-Za-z0-9]+(?:['’][A-Za-z0-9]+)*",
+    rf"[^{BLANK}A-Za-z0-9]",
+)
+
+# The clitic at the end of a token.
+CLITIC_TAIL = r"(?:n['’]t|['’](?:ll|re|ve|s|m|d))"
+
+
+def token_forms(case: str) -> list[str]:
+    """``TOKEN_FORMS`` with the lists filled in, longest abbreviations first."""
+    abbreviations = "|".join(sorted(ABBREVIATIONS, key=lambda w: (-len(w), w)))
+    fill = lambda form: form.replace("{case}", case).replace("{abbreviations}", abbreviations).replace("{prefixes}", "|".join(PREFIXES))
+    return [fill(form) for form in TOKEN_FORMS]

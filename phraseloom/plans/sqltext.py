@@ -14,17 +14,11 @@ def qs(values) -> str:
 
 
 def _pattern() -> str:
-    abbreviations = "|".join(sorted(C.ABBREVIATIONS, key=lambda w: (-len(w), w)))
-    return (
-        rf"https?://[^{C.BLANK}]+|www\.[A-Za-z0-9][A-Za-z0-9.\-]*|[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+|(?:[A-Za-z]\.){{2,}}"
-        rf"|(?i:{abbreviations})\.|[A-Z]\.|\p{{Nd}}+(?:[.,:/]\p{{Nd}}+)+|\p{{Nd}}+(?:-\p{{Nd}}+){{2,}}|['’]\p{{Nd}}+(?:[A-Za-z]+)?"
-        rf"|\.{{2,}}|…|-{{2,}}|\*{{2,}}|(?i:{'|'.join(C.PREFIXES)})-[A-Za-z]+(?:['’][A-Za-z0-9]+)*"
-        rf"|[A-Za-z0-9]+(?:['’][A-Za-z0-9]+)*|[^{C.BLANK}A-Za-z0-9]"
-    )
+    return "|".join(C.token_forms("?i"))
 
 
 def tokenize(text: str) -> str:
-    tail = "(?:n['’]t|['’](?:ll|re|ve|s|m|d))"
+    tail = C.CLITIC_TAIL
     words = lambda s: f"CASE WHEN lower({s}) = 'cannot' THEN [substring({s}, 1, 3), substring({s}, 4, 3)] ELSE [{s}] END"
     stem = f"regexp_extract(t, {q(f'(?is)^(.+?)({tail}*)$')}, 1)"
     split = (
