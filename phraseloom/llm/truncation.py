@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 
 from phraseloom.plans.lineage import cut_lineage
 
-_BLANK = "(?U)[\\s\\u00A0\\u200B\\uFEFF]"
+#: White space of any kind and what has no width: no text ends in it.
+_BLANK = "".join(map(chr, (*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
+
+
+def _trimmed(text: Column) -> Column:
+    return F.rtrim(text, F.lit(_BLANK))
 
 #: Characters of a text's end that are kept to learn marks of omission from.
 TAIL = 12
@@ -61,7 +66,7 @@ class Spike:
 
 def ending_columns(text: Column) -> dict[str, Column]:
     """What the end of a text says, on its last line without trailing blanks."""
-    end = F.regexp_replace(text, _BLANK + "+$", "")
+    end = _trimmed(text)
     last = F.substring_index(end, "\n", -1)
     closers = "[\"'”’»«)\\]}*_]*"
     marker = last.rlike("(\\[\\s*(\\.\\.\\.|…)\\s*\\]|\\x{FFFD})$")
@@ -85,11 +90,11 @@ def ending_columns(text: Column) -> dict[str, Column]:
 def measured(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """(id, source, chars, bytes, hash, tail, and what the end says) for every row; narrow, so texts are not shuffled."""
     text = F.col(text_col)
-    end = F.right(F.regexp_replace(text, _BLANK + "+$", ""), F.lit(3 * TAIL))
+    end = F.right(_trimmed(text), F.lit(3 * TAIL))
     return docs.select(
         F.col(id_col).alias("_id"),
         F.col(source_col).alias("_source"),
-        F.coalesce(~text.rlike("^" + _BLANK + "*$"), F.lit(False)).alias("_filled"),
+        F.coalesce(_trimmed(text) != "", F.lit(False)).alias("_filled"),
         F.length(text).alias("_chars"),
         F.octet_length(text).alias("_bytes"),
         F.xxhash64(text).alias("_hash"),
@@ -166,23 +171,24 @@ def marks(rows: DataFrame, least: int = 4, share: float = 0.3, times: float = 4.
     """
     filled = rows.where("_filled")
     zoned, rest = filled.where("_zoned").dropDuplicates(["_source", "_hash"]), filled.where("not _zoned")
-    endings = zoned.select("_source", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda k: F.right("_tail", k)))).alias("ending"))
-    counts = endings.where(F.length("ending") > 0).groupBy("_source", "ending").agg(F.count("*").alias("n"))
-    sizes = zoned.groupBy("_source").agg(F.count("*").alias("_in"))
-    sizes = _with_source(sizes, rest.groupBy("_source").agg(F.count("*").alias("_out"))).fillna({"_out": 0})
-    often = _with_source(counts.where(F.col("n") >= least), sizes).where(F.col("n") >= F.lit(share) * F.col("_in"))
-    candidates = often.groupBy("_source", "_in", "_out").agg(F.collect_list(F.struct("ending", "n")).alias("_c"))
+    # the ending of no characters is every text's, so its count is the number of texts
+    endings = zoned.select("_source", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(longest)), lambda k: F.right("_tail", k)))).alias("ending"))
+    counts = endings.groupBy("_source", "ending").agg(F.count("*").alias("n")).withColumn("_in", F.max("n").over(Window.partitionBy("_source")))
+    often = counts.where((F.col("ending") != "") & (F.col("n") >= least) & (F.col("n") >= F.lit(share) * F.col("_in")))
+    candidates = often.groupBy("_source", "_in").agg(F.collect_list(F.struct("ending", "n")).alias("_c"))
+    found = F.transform(F.filter("_c", lambda c: F.endswith("_tail", c["ending"])), lambda c: c["ending"])
     elsewhere = (
-        _with_source(rest.select("_source", "_tail"), candidates.select("_source", "_c"))
-        .select("_source", F.explode(F.filter("_c", lambda c: F.endswith("_tail", c["ending"]))).alias("_e"))
-        .groupBy("_source", F.col("_e.ending").alias("ending"))
+        rest.select("_source", "_tail")
+        .join(candidates.select(F.col("_source").alias("_fact_source"), "_c"), F.col("_source").eqNullSafe(F.col("_fact_source")))
+        .select("_source", F.explode(F.concat(F.array(F.lit("")), found)).alias("ending"))
+        .groupBy("_source", "ending")
         .agg(F.count("*").alias("n"))
         .groupBy("_source")
         .agg(F.map_from_entries(F.collect_list(F.struct("ending", "n"))).alias("_elsewhere"))
     )
     both = _with_source(candidates, elsewhere)
-    others = lambda c: F.coalesce(F.try_element_at("_elsewhere", c["ending"]), F.lit(0))
-    stands_out = lambda c: c["n"] / F.col("_in") >= F.lit(times) * (others(c) + 1) / (F.col("_out") + 2)
+    others = lambda ending: F.coalesce(F.try_element_at("_elsewhere", ending), F.lit(0))
+    stands_out = lambda c: c["n"] / F.col("_in") >= F.lit(times) * (others(c["ending"]) + 1) / (others(F.lit("")) + 2)
     good = F.filter("_c", stands_out)
     longer = lambda c: F.exists(good, lambda d: (F.length(d["ending"]) > F.length(c["ending"])) & F.endswith(d["ending"], c["ending"]) & (d["n"] >= F.lit(0.9) * c["n"]))
     return both.select("_source", F.transform(F.filter(good, lambda c: ~longer(c)), lambda c: c["ending"]).alias("_marks"))
