@@ -268,6 +268,7 @@ FROM {_LINES} WHERE json_type(j) = 'OBJECT' AND {_ID_OK} AND json_type(j, '$.cat
     "builder_lexicon": f"""SELECT entry_id, word AS phrase, array_to_string(types, '|') AS categories, pos, first_gloss AS definition,
 coalesce(array_to_string(sense_tags, '|'), '') AS tags, {S.flat('elements')} AS elements FROM {_SHAPED} WHERE {_LONG}""",
     "builder_stats": f"""SELECT (SELECT count(*) FROM wiki_dump) AS scanned, count(*) FILTER (WHERE {_LONG}) AS written, count(*) FILTER (WHERE NOT {_LONG}) AS skipped_too_short FROM {_SHAPED}""",
+    "hash_ids": S.siphash13_low32("(SELECT DISTINCT word FROM wiki_dump WHERE word IS NOT NULL)"),
     "idiom_selection": "SELECT rec_id, phrase FROM lexicon_rows WHERE list_contains(categories, 'idiom')",
     "anti_cache": f"SELECT rec_id, id FROM {_OPEN}",
     "llm_batches": f"SELECT rec_id, batch, batch_pos FROM {_BATCHED}",

@@ -92,3 +92,36 @@ def plan(elements_: str) -> str:
         "'slot': CASE WHEN len(list_filter(x[1:i-1], lambda y: y[1] = 'w')) > 0 AND x[i-1][1] <> 'w' THEN x[i-1][1] ELSE 'slot' END} END"
     )
     return f"list_transform([{elements_}], lambda x: list_filter(list_transform(x, {step}), lambda s: s IS NOT NULL))[1]"
+
+
+def siphash13_low32(words: str) -> str:
+    """SQL of (word, id): the low 32 bits of SipHash-1-3 with zero keys over the word's bytes and 0xFF; ``words`` has a column word.
+
+    64-bit words are HUGEINTs cut back after each sum; a round is four nested
+    selections, as each step reads what the one before wrote.
+    """
+    top = str((1 << 64) - 1) + "::HUGEINT"
+    cut = lambda x: f"(({x}) & {top})"
+    turn = lambda v, n: f"({cut(f'{v} << {n}')} | ({v} >> {64 - n}))"
+
+    def one_round(source: str, keep: str) -> str:
+        for a, b, c, d in (
+            (cut("v0 + v1"), turn("v1", 13), cut("v2 + v3"), turn("v3", 16)),
+            (turn("v0", 32), "xor(v1, v0)", "v2", "xor(v3, v2)"),
+            (cut("v0 + v3"), turn("v1", 17), cut("v2 + v1"), turn("v3", 21)),
+            ("v0", "xor(v1, v2)", turn("v2", 32), "xor(v3, v0)"),
+        ):
+            source = f"(SELECT {keep}, {a} AS v0, {b} AS v1, {c} AS v2, {d} AS v3 FROM {source})"
+        return source
+
+    digit = lambda i: f"(instr('0123456789ABCDEF', substring(h, k * 16 + {i}, 1)) - 1)"
+    block = " + ".join(f"({digit(2 * j + 1)} * 16 + {digit(2 * j + 2)})::HUGEINT * {1 << (8 * j)}::HUGEINT" for j in range(8))
+    step = one_round(f"(SELECT word, h, n, k + 1 AS k, m, v0, v1, v2, xor(v3, m) AS v3 FROM (SELECT *, {block} AS m FROM r WHERE k < n))", "word, h, n, k, m")
+    last = "(SELECT word, v0, v1, xor(v2, 255::HUGEINT) AS v2, v3 FROM r WHERE k = n)"
+    for _ in range(3):
+        last = one_round(last, "word")
+    start = ", ".join(f"{int.from_bytes(x, 'big')}::HUGEINT AS v{i}" for i, x in enumerate((b"somepseu", b"dorandom", b"lygenera", b"tedbytes")))
+    return f"""WITH RECURSIVE w AS (SELECT word, hex(encode(word)) || 'FF' AS h FROM {words}),
+p AS (SELECT word, length(h) // 16 + 1 AS n, rpad(h, ((length(h) // 16 + 1) * 16 - 2)::int, '0') || printf('%02X', (length(h) // 2) % 256) AS h FROM w),
+r AS (SELECT word, h, n, 0 AS k, {start} FROM p UNION ALL SELECT word, h, n, k, xor(v0, m) AS v0, v1, v2, v3 FROM {step})
+SELECT word, (xor(xor(v0, v1), xor(v2, v3)) & 4294967295::HUGEINT)::bigint AS id FROM {last}"""
