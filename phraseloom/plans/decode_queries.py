@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from phraseloom.functions import decode, text
 from phraseloom.operators import annotate
 from phraseloom.plans import sqltext as S
+from phraseloom.plans.lineage import scratch_path
 from phraseloom.sources.tables import table
-from phraseloom.streaming import events
+from phraseloom.streaming import events, ordered
 
 RELS = ("root", "nsubj", "obj", "det", "amod", "advmod", "punct", "case")
 UPOS = ("NOUN", "VERB", "ADJ", "ADV", "PRON", "DET", "ADP", "PUNCT")
@@ -110,6 +111,23 @@ def error_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.request_events(_requests(spark, sf_dir, True), "req_no")
 
 
+def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same events from a stream of answered sentences: requests are read file by file, states put their sentences in order."""
+    place = f"{sf_dir}/parse_requests.parque[t]"  # the stream's reader takes a pattern or a folder
+    requests = spark.readStream.schema(table(spark, sf_dir, "parse_requests").schema).option("maxFilesPerTrigger", 4).parquet(place)
+    sentences = F.coalesce("sentences", F.array().cast("array<string>"))
+    rows = requests.select("req_no", F.size(sentences).alias("total"), F.posexplode_outer(sentences).alias("sent_index", "s"))
+    words = F.size(text.tokenize(text.unicode_trim(F.coalesce("s", F.lit("")))))
+    answered = rows.select("req_no", "sent_index", "total", F.concat(F.lit('{"words":'), words, F.lit("}")).alias("result"), F.when(F.length("s") % 11 == 0, F.lit("too odd")).alias("error"))
+    out, progress = scratch_path(spark), scratch_path(spark)
+    stream = ordered.ordered_events(answered, "req_no", keep_seconds=None).writeStream.format("parquet").option("path", out).option("checkpointLocation", progress)
+    query = stream.trigger(availableNow=True).start()
+    if not query.awaitTermination(300):
+        query.stop()
+        raise RuntimeError("the stream did not end with its input")
+    return spark.read.schema("req_no bigint, seq int, event string, data string").parquet(out)
+
+
 def request_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "parse_requests").select("req_no", "sentences").distinct()
     return events.request_sentences(rows, "req_no")
@@ -119,7 +137,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         argmax_decode, upos_decode, rel_decode, feats_string, mst_decode, vocab_invert, subword_grid, score_decode, progress_events, result_events, error_events,
-        request_sentences,
+        stream_events, request_sentences,
     )
 }
 
@@ -165,3 +183,4 @@ UNION ALL SELECT req_no, (2 * i)::int, 'error', 'sentence ' || i || ': too odd'
 UNION ALL {_DONE} WHERE j.bad IS DISTINCT FROM true""",
     "request_sentences": "SELECT req_no, (generate_subscripts(sentences, 1) - 1)::int AS sent_index, unnest(sentences) AS sentence FROM (SELECT DISTINCT req_no, sentences FROM parse_requests)",
 }
+SQL["stream_events"] = SQL["error_events"]

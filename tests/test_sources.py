@@ -335,6 +335,34 @@ def test_stream(spark, tmp_path):
     assert run() == 9  # nothing new
 
 
+def test_events_in_order_over_micro_batches(spark, tmp_path):
+    """Answers come out of order and twice, a batch at a time; events are those of the whole requests."""
+    from phraseloom.streaming import ordered
+
+    kind = "req string, sent_index int, total int, result string, error string"
+    batches = [
+        [("a", 1, 3, '{"n":1}', None), ("b", 0, 2, '{"n":0}', None), ("e", None, 0, None, None)],
+        [("a", 0, 3, '{"n":0}', None), ("b", 1, 2, None, "odd"), ("a", 1, 3, '{"n":9}', None)],
+        [("a", 2, 3, '{"n":2}', None), ("b", 0, 2, '{"n":0}', None)],
+        [("a", 0, 3, '{"n":0}', None), ("e", None, 0, None, None)],
+    ]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        stream = ordered.ordered_events(spark.readStream.schema(kind).json(str(tmp_path / "in")), "req", keep_seconds=None)
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        assert query.awaitTermination(90)
+        found = {}
+        for r in spark.read.parquet(str(tmp_path / "out")).orderBy("req", "seq").collect():
+            found.setdefault(r.req, []).append((r.seq, r.event, r.data))
+        if i == 0:
+            assert found == {"b": [(0, "result", '{"index":0,"result":{"n":0}}'), (1, "progress", '{"done":1,"total":2,"percent":50}')], "e": [(0, "done", '{"results":[]}')]}
+    whole = [("a", [('{"n":0}', None), ('{"n":1}', None), ('{"n":2}', None)]), ("b", [('{"n":0}', None), (None, "odd")]), ("e", [])]
+    expected = {}
+    for r in events.request_events(spark.createDataFrame(whole, "req string, results array<struct<result:string,error:string>>"), "req").orderBy("req", "seq").collect():
+        expected.setdefault(r.req, []).append((r.seq, r.event, r.data))
+    assert found == expected
+
+
 def test_checkpoint_folder_is_the_sessions(spark):
     from phraseloom.plans.lineage import cut_lineage
 
