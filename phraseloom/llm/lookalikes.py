@@ -245,22 +245,36 @@ def unstable_rows(rows: DataFrame, text_col: str, form_col: str = "form") -> Dat
     return rows.where(unstable(F.col(text_col))).mapInArrow(run, schema)
 
 
+_TEXT, _FORM = ["_t1", "_t2"], ["_f1", "_f2"]
+
+
+def _hashes(text: Column, names: Sequence[str]) -> list[Column]:
+    """128 bits that stand for a text, so that texts themselves are not shuffled."""
+    return [F.xxhash64(text).alias(names[0]), F.xxhash64(F.lit(1), text).alias(names[1])]
+
+
 def _together(rows: DataFrame, key: str, text_col: str, by: Sequence[str]) -> DataFrame:
-    """(by, key, text, form) of the texts that can look like another: the unstable ones and the stable ones of their forms."""
-    base = rows.select(*by, F.col(key).alias("key"), F.col(text_col).alias("text"))
-    odd = cut_lineage(unstable_rows(base, "text").where(~F.col("form").rlike("^\\s*$")))
-    plain = base.where(F.col("text").isNotNull() & ~unstable(F.col("text")))
-    forms = odd.select(*by, F.col("form").alias("text")).distinct()
-    plain = plain.join(forms, [*by, "text"], "left_semi").withColumn("form", F.col("text"))
-    return odd.unionByName(plain)
+    """(by, key, hashes of text and form) of the texts that can look like another: the unstable ones and the stable ones of their forms.
+
+    One pass over the texts tells which are unstable and keeps only those; a
+    stable text is its own form, so its hashes are all that is needed of it.
+    """
+    text = F.col(text_col)
+    marked = rows.where(text.isNotNull()).select(*by, F.col(key).alias("key"), *_hashes(text, _TEXT), F.when(unstable(text), text).alias("text"))
+    marked = cut_lineage(marked)
+    odd = unstable_rows(marked.where("text is not null"), "text").where(~F.col("form").rlike("^\\s*$"))
+    odd = cut_lineage(odd.select(*by, "key", *_TEXT, *_hashes(F.col("form"), _FORM)))
+    forms = odd.select(*by, *[F.col(f).alias(t) for f, t in zip(_FORM, _TEXT)]).distinct()
+    plain = marked.where("text is null").drop("text").join(forms, [*by, *_TEXT], "left_semi")
+    return odd.unionByName(plain.select(*by, "key", *_TEXT, *[F.col(t).alias(f) for f, t in zip(_FORM, _TEXT)]))
 
 
 def _shared(together: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows whose form another text has as well; and the distinct texts of such forms with their numbers of rows."""
-    kept = cut_lineage(together.withColumn("_f", F.xxhash64(*by, "form")))
-    texts = kept.groupBy("_f", *by, "form", "text").agg(F.count("*").alias("_n"))
-    several = texts.groupBy("_f", *by, "form").agg(F.count("*").alias("_texts"), F.sum("_n").alias("_all")).where("_texts > 1")
-    return kept, texts.join(several, ["_f", *by, "form"])
+    """The rows, and the distinct texts whose form another text has as well, with their numbers of rows."""
+    kept = cut_lineage(together)
+    texts = kept.groupBy(*by, *_FORM, *_TEXT).agg(F.count("*").alias("_n"))
+    several = texts.groupBy(*by, *_FORM).agg(F.count("*").alias("_texts"), F.sum("_n").alias("_all")).where("_texts > 1")
+    return kept, texts.join(several, [*by, *_FORM])
 
 
 def look_alike_classes(rows: DataFrame, key: str, text_col: str, by: Sequence[str] = ()) -> DataFrame:
@@ -270,9 +284,10 @@ def look_alike_classes(rows: DataFrame, key: str, text_col: str, by: Sequence[st
     ``class_id`` is its smallest key.  Linear in the rows: no pair is made.
     """
     kept, texts = _shared(_together(rows, key, text_col, by), by)
-    facts = texts.select("_f", *by, "form", "text", (F.col("_all") - F.col("_n")).alias("links"))
-    first = kept.join(texts.select("_f", *by, "form").distinct(), ["_f", *by, "form"], "left_semi").groupBy("_f", *by, "form").agg(F.min("key").alias("class_id"))
-    return kept.join(facts, ["_f", *by, "form", "text"]).join(first, ["_f", *by, "form"]).select(*by, "key", "class_id", "links")
+    facts = cut_lineage(texts.select(*by, *_FORM, *_TEXT, (F.col("_all") - F.col("_n")).alias("links")))
+    members = kept.join(facts, [*by, *_FORM, *_TEXT])
+    first = members.groupBy(*by, *_FORM).agg(F.min("key").alias("class_id"))
+    return members.join(first, [*by, *_FORM]).select(*by, "key", "class_id", "links")
 
 
 def look_alike_pairs(rows: DataFrame, key: str, text_col: str, by: Sequence[str] = ()) -> DataFrame:
@@ -284,20 +299,15 @@ def look_alike_pairs(rows: DataFrame, key: str, text_col: str, by: Sequence[str]
     unstable member: only forms of unstable texts are searched among the
     stable ones.  Forms are compared as distinct texts first, and the keys are
     joined to the pairs of differing texts at the end, so a group of equal
-    texts, however large, is never paired with itself.  The pairs of two texts
-    are the product of their keys; ``look_alike_classes`` has the same links
-    without it.
+    texts, however large, is never paired with itself.  Texts and forms are
+    told apart by 128 bits of them.  The pairs of two texts are the product of
+    their keys; ``look_alike_classes`` has the same links without it.
     """
     kept, texts = _shared(_together(rows, key, text_col, by), by)
-    texts = cut_lineage(texts.select("_f", *by, "form", "text"))  # the few texts that are in a pair
-    pairs = (
-        texts.select("_f", *by, "form", F.col("text").alias("text_a"))
-        .join(texts.select("_f", *by, "form", F.col("text").alias("text_b")), ["_f", *by, "form"])
-        .where("text_a < text_b")
-        .select(*by, "text_a", "text_b")
-    )
-    keys = kept.join(texts, ["_f", *by, "form", "text"], "left_semi").select(*by, "text", "key")
-    joined = pairs.join(keys.select(*by, F.col("text").alias("text_a"), F.col("key").alias("a")), [*by, "text_a"]).join(
-        keys.select(*by, F.col("text").alias("text_b"), F.col("key").alias("b")), [*by, "text_b"]
-    )
+    texts = cut_lineage(texts.select(*by, *_FORM, *_TEXT))  # the few texts that are in a pair
+    side = lambda df, name, more=(): df.select(*by, *more, *[F.col(t).alias(t + name) for t in _TEXT])
+    less = F.struct("_t1a", "_t2a") < F.struct("_t1b", "_t2b")
+    pairs = side(texts, "a", _FORM).join(side(texts, "b", _FORM), [*by, *_FORM]).where(less).drop(*_FORM)
+    keys = kept.join(texts, [*by, *_FORM, *_TEXT], "left_semi")
+    joined = pairs.join(side(keys, "a", [F.col("key").alias("a")]), [*by, "_t1a", "_t2a"]).join(side(keys, "b", [F.col("key").alias("b")]), [*by, "_t1b", "_t2b"])
     return joined.select(*by, F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b"))
