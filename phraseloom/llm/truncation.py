@@ -170,7 +170,7 @@ def marks(rows: DataFrame, least: int = 4, share: float = 0.3, times: float = 4.
     them per source are then looked for among the rest.
     """
     filled = rows.where("_filled")
-    zoned, rest = filled.where("_zoned").dropDuplicates(["_source", "_hash"]), filled.where("not _zoned")
+    zoned, rest = filled.where("_zoned").select("_source", "_hash", "_tail").distinct(), filled.where("not _zoned")
     # the ending of no characters is every text's, so its count is the number of texts
     endings = zoned.select("_source", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(longest)), lambda k: F.right("_tail", k)))).alias("ending"))
     counts = endings.groupBy("_source", "ending").agg(F.count("*").alias("n")).withColumn("_in", F.max("n").over(Window.partitionBy("_source")))
