@@ -62,6 +62,44 @@ def test_parse_and_events(spark, tmp_path):
     assert by["q"] == [("error", "sentence 0: too loud")]
 
 
+#: sentence, annotation (word/UPOS/head/rel) and the expression that must be found
+GOLDEN = [
+    ("You have an audition today? Break a leg!", "You/PRON/2/dep have/VERB/0/root an/DET/4/dep audition/NOUN/2/dep today/NOUN/2/dep ?/PUNCT/2/dep Break/VERB/2/dep a/DET/9/dep leg/NOUN/7/dep !/PUNCT/7/dep", "break a leg"),
+    ("He spilled the beans about the surprise party.", "He/PRON/2/dep spilled/VERB/0/root the/DET/4/dep beans/NOUN/2/dep about/ADP/8/dep the/DET/8/dep surprise/NOUN/8/dep party/NOUN/2/dep ./PUNCT/2/dep", "spill the beans"),
+    ("After years of hard work, she finally kicked the bucket.", "After/ADP/2/dep years/NOUN/9/dep of/ADP/5/dep hard/ADJ/5/dep work/NOUN/2/dep ,/PUNCT/9/dep she/PRON/9/dep finally/ADV/9/dep kicked/VERB/0/root the/DET/11/dep bucket/NOUN/9/dep ./PUNCT/9/dep", "kick the bucket"),
+    ("She was over the moon when she heard the news.", "She/PRON/5/dep was/AUX/5/dep over/ADP/5/dep the/DET/5/dep moon/NOUN/0/root when/ADV/8/dep she/PRON/8/dep heard/VERB/5/dep the/DET/10/dep news/NOUN/8/dep ./PUNCT/5/dep", "over the moon"),
+    ("they just did not hold with such nonsense.", "they/PRON/5/dep just/ADV/5/dep did/AUX/5/dep not/PART/5/dep hold/VERB/0/root with/ADP/8/dep such/ADJ/8/dep nonsense/NOUN/5/dep ./PUNCT/5/dep", "hold with"),
+    ("she spent her time spying on the neighbours.", "she/PRON/2/dep spent/VERB/0/root her/PRON/4/dep time/NOUN/2/dep spying/VERB/2/dep on/ADP/8/dep the/DET/8/dep neighbours/NOUN/5/dep ./PUNCT/2/dep", "spy on"),
+]
+TAGS = ["NOUN", "VERB", "ADJ", "ADV", "PRON", "DET", "ADP", "PUNCT", "AUX", "PART"]
+
+
+def _lookup_scorer(known, tags):
+    """A scorer that knows the annotation of some sentences, by their words."""
+    import numpy as np
+
+    def scorer(words):
+        parts = [x.rsplit("/", 3) for x in known[" ".join(words)].split()]
+        n = len(parts) + 1
+        arc, rel, pos = np.zeros((1, n, n)), np.zeros((1, n, n, 2)), np.zeros((1, n, len(tags)))
+        for i, (_, tag, head, r) in enumerate(parts, 1):
+            arc[0, i, int(head)] = pos[0, i, tags.index(tag)] = 5.0
+            rel[0, i, int(head), int(r == "root")] = 1.0
+        return {"s_arc": arc, "s_rel": rel, "s_pos": pos}
+
+    return scorer
+
+
+def test_golden_sentences(spark):
+    known = {" ".join(x.rsplit("/", 3)[0] for x in annotation.split()): annotation for _, annotation, _ in GOLDEN}
+    df = spark.createDataFrame([(i, s) for i, (s, _, _) in enumerate(GOLDEN)], "sent_id bigint, sentence string")
+    rows = {r.sent_id: r for r in pipeline.parse(df, _lookup_scorer(known, TAGS), vocab.Vocab(["dep", "root"], TAGS), _lexicon(spark)).collect()}
+    for i, (_, annotation, phrase) in enumerate(GOLDEN):
+        assert rows[i].error is None and ["/".join((t.word, t.upos, str(t.head), t.rel)) for t in rows[i].tokens] == annotation.split()
+        assert phrase in [m.phrase for m in rows[i].mwes] and all(len(m.token_ids) >= 2 for m in rows[i].mwes)
+        assert all(t.feats == "_" for t in rows[i].tokens)
+
+
 def test_feats(spark):
     cases = {"_": None, "Mood=Ind|Number=Plur": None, "Gender=Fem,Masc": None, "Number=Plur|Mood=Ind": "order", "Mood=Odd": "unknown", "Mood": "grammar", "": "grammar", None: "missing", "NumType=Card|Number=Sing": None}
     df = spark.createDataFrame([(k,) for k in cases], "f string")
