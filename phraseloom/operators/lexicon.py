@@ -55,10 +55,15 @@ def union_in_order(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [p.withColumn("file_ord", F.lit(i)) for i, p in enumerate(parts)])
 
 
-def first_lemma_index(entries: DataFrame) -> DataFrame:
-    """(first_lemma, entries): the numbers of the entries that begin with a lemma, ascending."""
-    keyed = entries.select(pattern.first_fixed(F.col("elements")).alias("first_lemma"), "entry_idx")
-    return keyed.groupBy("first_lemma").agg(F.array_sort(F.collect_list("entry_idx")).alias("entries"))
+def first_lemma_index(entries: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """(first_lemma, block, entries): the numbers of the entries that begin with a lemma, ascending.
+
+    A row holds those of one block of ``block`` numbers, so the list of a lemma
+    with which any share of the lexicon begins is bounded; blocks follow each
+    other.
+    """
+    keyed = entries.select(pattern.first_fixed(F.col("elements")).alias("first_lemma"), F.floor(F.col("entry_idx") / block).alias("block"), "entry_idx")
+    return keyed.groupBy("first_lemma", "block").agg(F.array_sort(F.collect_list("entry_idx")).alias("entries"))
 
 
 def apply_corrections(entries: DataFrame, corrections: DataFrame) -> DataFrame:

@@ -72,7 +72,7 @@ def lexicon_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def first_lemma_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lexicon.first_lemma_index(_all_entries(spark, sf_dir))
-    return found.select("first_lemma", F.size("entries").alias("n"), F.array_join(F.transform("entries", lambda x: x.cast("string")), ",").alias("entries"))
+    return found.select("first_lemma", "block", F.size("entries").alias("n"), F.array_join(F.transform("entries", lambda x: x.cast("string")), ",").alias("entries"))
 
 
 def corrections_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,8 +257,8 @@ SQL = {
     "lexicon_lines": _LEXICON_LINES,
     "wiki_lines": _WIKI_LINES,
     "lexicon_load": f"SELECT entry_idx, id, phrase, {_j('categories')} AS categories, {S.flat('elements')} AS elements FROM {_ENTRIES}",
-    "first_lemma_index": f"""SELECT first_lemma, count(*)::int AS n, string_agg(entry_idx::varchar, ',' ORDER BY entry_idx) AS entries
-FROM (SELECT entry_idx, list_filter(elements, lambda e: e[1] = 'w')[1][2] AS first_lemma FROM {_ENTRIES}) GROUP BY first_lemma""",
+    "first_lemma_index": f"""SELECT first_lemma, entry_idx // 65536 AS block, count(*)::int AS n, string_agg(entry_idx::varchar, ',' ORDER BY entry_idx) AS entries
+FROM (SELECT entry_idx, list_filter(elements, lambda e: e[1] = 'w')[1][2] AS first_lemma FROM {_ENTRIES}) GROUP BY first_lemma, block""",
     "corrections_overlay": f"""WITH f AS (SELECT id, arg_max(categories, rec_id) AS fixed FROM lexicon_rows WHERE origin = 'editors' AND categories IS NOT NULL GROUP BY id)
 SELECT rec_id, id, phrase, {_j('c')} AS categories FROM (SELECT rec_id, l.id, phrase, CASE WHEN f.id IS NULL THEN categories ELSE fixed END AS c FROM lexicon_rows l LEFT JOIN f ON l.id = f.id)""",
     "correction_lines": f"""SELECT (j->>'$.id')::bigint AS id, coalesce(array_to_string(arg_max({_MEMBERS.format('categories')}, line_no), '|'), '') AS categories
