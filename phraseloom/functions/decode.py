@@ -91,6 +91,23 @@ def arborescence(score: np.ndarray, root: int = 0) -> np.ndarray:
     return head
 
 
+def arborescences(scores: np.ndarray, root: int = 0) -> np.ndarray:
+    """``arborescence`` of each of many matrices of one size; only those whose greedy heads have cycles are taken one by one."""
+    weight = np.array(scores, np.float32)
+    n = weight.shape[1]
+    weight[:, np.arange(n), np.arange(n)] = -np.inf
+    weight[:, :, root] = -np.inf
+    heads = weight.argmax(axis=1)
+    heads[~np.isfinite(np.take_along_axis(weight, heads[:, None, :], 1)[:, 0])] = root
+    heads[:, root] = root
+    above = heads
+    for _ in range(n.bit_length()):
+        above = np.take_along_axis(above, above, 1)
+    for i in np.flatnonzero((above != root).any(axis=1)):
+        heads[i] = arborescence(scores[i], root)
+    return heads
+
+
 def _best_between(gain: np.ndarray, group: np.ndarray, m: int, root: int) -> tuple[np.ndarray, np.ndarray]:
     """The best arc between any two of ``m`` groups of nodes, and its ends; the lowest head, then dependent, wins ties."""
     usable = (group[:, None] != group[None, :]) & np.isfinite(gain)

@@ -1,7 +1,8 @@
 """From sentences to annotated tokens, with a model behind an interface.
 
 No model files are part of this project.  ``decode_scores`` turns the score
-tensors of any parser into tokens; ``OnnxScorer`` runs one inside the workers.
+tensors of any parser into tokens, ``annotated`` does so inside the workers,
+which then return no scores; ``OnnxScorer`` runs a parser there.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -167,9 +169,25 @@ class OnnxScorer:
         return found
 
 
+#: Cells of arc scores that a worker holds at once.
+CELLS = 1 << 17
+
 SCORES = "s_arc array<array<float>>, s_rel array<array<array<float>>>, s_pos array<array<float>>, s_feats array<array<array<float>>>"
 
 
+def _parts(sentences: list[list[str]]) -> Iterator[slice]:
+    """The sentences in parts whose arc scores have at most ``CELLS`` cells together; a longer sentence is a part of its own."""
+    lo = cells = 0
+    for i, words in enumerate(sentences):
+        size = (len(words) + 1) ** 2
+        if i > lo and cells + size > CELLS:
+            yield slice(lo, i)
+            lo, cells = i, 0
+        cells += size
+    if lo < len(sentences):
+        yield slice(lo, len(sentences))
+
+
 def _scored(scorer, sentences: list[list[str]]) -> list[tuple[dict, str | None]]:
     """(tensors, error) of each sentence; a sentence without words is not scored, and one that fails fails alone."""
 
@@ -200,13 +218,107 @@ def score(sentences: DataFrame, scorer, key_schema: str) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            results = _scored(scorer, [list(words) if words is not None else [] for words in frame["words"]])
-            out = {n: [np.asarray(tensors[n][0], np.float32).tolist() if n in tensors else [] for tensors, _ in results] for n in names}
-            yield pd.concat([frame, pd.DataFrame(out | {"error": [error for _, error in results]}, index=frame.index)], axis=1)
+            sentences = [list(words) if words is not None else [] for words in frame["words"]]
+            for part in _parts(sentences):
+                results = _scored(scorer, sentences[part])
+                out = {n: [np.asarray(tensors[n][0], np.float32).tolist() if n in tensors else [] for tensors, _ in results] for n in names}
+                rows = frame.iloc[part]
+                yield pd.concat([rows, pd.DataFrame(out | {"error": [error for _, error in results]}, index=rows.index)], axis=1)
 
     return sentences.select(*keys, "words").mapInPandas(run, f"{key_schema}, words array<string>, {SCORES}, error string")
 
 
+def _last_best(scores: np.ndarray) -> np.ndarray:
+    """``decode.argmax`` along the last axis; what is no number, which ``score`` returns as null, is below every number."""
+    n = scores.shape[-1]
+    return n - 1 - np.where(np.isnan(scores), -np.inf, scores)[..., ::-1].argmax(axis=-1) if n else np.zeros(scores.shape[:-1], np.int64)
+
+
+def _choices(tensors: list[dict], n: int, feats: list[tuple[str, list[str]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Head, place of relation and of tag, and places of features of the ``n`` words of sentences whose tensors have one shape; -1 without a score."""
+    many = len(tensors)
+    of = lambda name: np.concatenate([np.asarray(t[name])[:1] for t in tensors]).astype(np.float32) if name in tensors[0] else None
+    heads, rels, tags = (np.full((many, n), -1) for _ in range(3))
+    morph = np.full((many, n, len(feats)), -1)
+    arc, rel, pos, feat = of("s_arc"), of("s_rel"), of("s_pos"), of("s_feats")
+    if arc is not None and arc.size:
+        there = min(n, arc.shape[1] - 1)
+        heads[:, :there] = decode.arborescences(arc.transpose(0, 2, 1))[:, 1 : there + 1]
+    if rel is not None and rel.size:
+        i, at = np.nonzero((heads >= 0) & (heads < rel.shape[2]) & (np.arange(1, n + 1) < rel.shape[1]))
+        rels[i, at] = _last_best(rel[i, at + 1, heads[i, at]])
+    if pos is not None and pos.size:
+        there = min(n, pos.shape[1] - 1)
+        tags[:, :there] = _last_best(pos[:, 1 : there + 1])
+    if feat is not None:
+        there = min(n, feat.shape[1] - 1)
+        morph[:, :there] = 0
+        for c, (_, values) in enumerate(feats[: feat.shape[2]]):
+            morph[:, :there, c] = _last_best(feat[:, 1 : there + 1, c, : len(values)])
+    return heads, rels, tags, morph
+
+
+def _annotations(scorer, sentences: list[list[str]], rels: list[str], upos: list[str], feats: list[tuple[str, list[str]]]) -> list[pa.Array]:
+    """Columns ``ANNOTATED`` of some sentences."""
+    results = _scored(scorer, sentences)
+    words = [w if error is None else [] for w, (_, error) in zip(sentences, results)]
+    offsets = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+    heads, rel, tag = (np.full(offsets[-1], -1) for _ in range(3))
+    morph = np.full((offsets[-1], len(feats)), -1)
+    shapes: dict = {}
+    for i, (w, (tensors, _)) in enumerate(zip(words, results)):
+        if w:
+            shapes.setdefault((len(w), *[(name, np.shape(x)) for name, x in tensors.items()]), []).append(i)
+    for (n, *_), same in shapes.items():
+        at = offsets[same][:, None] + np.arange(n)
+        heads[at], rel[at], tag[at], morph[at] = _choices([results[i][0] for i in same], n, feats)
+
+    def labels(names: list[str], places: np.ndarray, other: str) -> pa.Array:
+        return pa.array([*names, other], pa.string()).take(pa.array(np.where((places >= 0) & (places < len(names)), places, len(names))))
+
+    if feats:
+        kinds, kind = np.unique(morph, axis=0, return_inverse=True)
+        shown = ["|".join(f"{c}={values[p]}" for (c, values), p in zip(feats, places) if p > 0) or "_" if places[0] >= 0 else None for places in kinds]
+        morphs = pa.array(shown, pa.string()).take(pa.array(kind.reshape(-1)))
+    else:
+        morphs = labels([], heads, "_")
+    lists = [pa.array([w for ws in words for w in ws], pa.string()), pa.array(heads, pa.int32(), mask=heads < 0), labels(rels, rel, "dep"), labels(upos, tag, "X"), morphs]
+    return [*[pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), x) for x in lists], pa.array([error for _, error in results], pa.string())]
+
+
+ANNOTATED = "words array<string>, heads array<int>, rels array<string>, upos array<string>, feats array<string>, error string"
+
+
+def annotated(sentences: DataFrame, scorer, key_schema: str, rels: list[str], upos: list[str], feats: list[tuple[str, list[str]]] = ()) -> DataFrame:
+    """``score`` and ``decode_scores`` in one pass over rows with ``words``: the keys and, in parallel arrays, ``ANNOTATED``.
+
+    Scores grow with the square of a sentence, so they stay in the worker,
+    ``CELLS`` at a time.  A sentence that fails has no words, and its message
+    in ``error``.
+    """
+    keys = [c for c in sentences.columns if c != "words"]
+    names = [x.split()[0] for x in ANNOTATED.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [words or [] for words in batch.column("words").to_pylist()]
+            for part in _parts(rows):
+                own = batch.slice(part.start, part.stop - part.start)
+                yield pa.RecordBatch.from_arrays([*[own.column(k) for k in keys], *_annotations(scorer, rows[part], rels, upos, list(feats))], [*keys, *names])
+
+    return sentences.select(*keys, "words").mapInArrow(run, f"{key_schema}, {ANNOTATED}")
+
+
+def tokens_of(rows: DataFrame) -> DataFrame:
+    """Rows of ``annotated`` with ``tokens`` in place of the parallel arrays."""
+
+    def token(w: Column, i: Column) -> Column:
+        of = lambda name: F.get(name, i)
+        return F.struct((i + 1).cast("int").alias("id"), w.alias("word"), text.lemma(w).alias("lemma"), of("heads").alias("head"), of("rels").alias("rel"), of("upos").alias("upos"), of("feats").alias("feats"))
+
+    return rows.withColumn("tokens", F.transform("words", token)).drop("words", "heads", "rels", "upos", "feats")
+
+
 def words_of(sentences: DataFrame, sentence: str = "sentence") -> DataFrame:
     """Add ``words``: the trimmed sentence's tokens; null has none."""
     words = text.tokenize(text.unicode_trim(F.coalesce(sentence, F.lit(""))))

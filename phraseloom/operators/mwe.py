@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from phraseloom.functions import pattern, text
 from phraseloom.operators.sizes import fits_broadcast
+from phraseloom.plans.lineage import cut_lineage
 
 TOKEN = "struct<id:int,word:string,lemma:string,head:int,rel:string,upos:string,feats:string>"
 
@@ -82,24 +88,28 @@ def matched(pairs: DataFrame) -> DataFrame:
     return found.where(~F.col("_phrasal") | gate)
 
 
-def as_matches(found: DataFrame, key: str = "sent_id") -> DataFrame:
-    """One row per match in the shape of the results."""
+def match_cells() -> list[Column]:
+    """Cells of a match in the shape of the results, after the number of its entry."""
     path, words = F.col("_path"), F.col("_words")
     lo, hi = F.get(path, 0), F.element_at(path, -1)
-    return found.select(
-        key,
-        "entry_idx",
-        "id",
-        "pos",
-        "phrase",
-        "definition",
-        "categories",
+    return [
+        F.col("entry_idx"),
+        F.col("id"),
+        F.col("pos"),
+        F.col("phrase"),
+        F.col("definition"),
+        F.col("categories"),
         F.col("_has_slot").alias("has_slot"),
         F.transform(path, lambda p: p + 1).alias("token_ids"),
         F.transform(path, lambda p: F.get(words, p)).alias("words"),
         pattern.surface(words, lo, hi).alias("surface"),
         (hi - lo + 1 != F.size(path)).alias("discontinuous"),
-    )
+    ]
+
+
+def as_matches(found: DataFrame, key: str = "sent_id") -> DataFrame:
+    """One row per match in the shape of the results."""
+    return found.select(key, *match_cells())
 
 
 def _rank(m: Column) -> Column:
@@ -136,9 +146,63 @@ def detect(sentences: DataFrame, entries: DataFrame, key: str = "sent_id", most_
     return resolve_overlaps(as_matches(found, key), key)
 
 
-def results(sentences: DataFrame, entries: DataFrame, key: str = "sent_id") -> DataFrame:
-    """(key, tokens, mwes): every sentence with its matches in entry order, empty where there are none."""
-    found = detect(sentences, entries, key)
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row without ``_match`` with the list of the matches that follow it; batches may fall anywhere between."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()
+        if not rows:
+            continue
+        heads = np.flatnonzero(rows[0].column("_match").is_null().to_numpy(zero_copy_only=False))
+        held = rows[0].slice(heads[-1])  # its matches may go on
+        if heads[-1]:
+            yield _lists(rows[0].slice(0, heads[-1]), heads)
+    if held is not None:
+        yield _lists(held, np.array([0, len(held)]))
+
+
+def _lists(rows: pa.RecordBatch, heads: np.ndarray) -> pa.RecordBatch:
+    """Sentences at the places ``heads`` but the last, which is the number of rows, with their matches."""
+    at = pa.array(heads[:-1])
+    matches = rows.column("_match").drop_null()
+    lists = pa.ListArray.from_arrays(pa.array(heads - np.arange(len(heads)), pa.int32()), matches)
+    names = [n for n in rows.schema.names if n != "_match"]
+    return pa.RecordBatch.from_arrays([*[rows.column(n).take(at) for n in names], lists], [*names, "_matches"])
+
+
+def _results_in_place(sentences: DataFrame, entries: DataFrame, key: str) -> DataFrame:
+    """``results`` with a broadcast lexicon and no shuffle.
+
+    A sentence becomes one row that carries it and, right behind it, one for
+    each lemma, of which the matches are left.  Nothing between moves rows, so
+    the matches that follow a sentence are its own.
+    """
+    own = sentences.columns
+    lemmas = F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("_lemmas"))).alias("_lemma")
+    carries = F.col("_lemma").isNull()
+    rows = prepared(sentences).select("*", lemmas).join(F.broadcast(entries), F.col("_lemma") == F.col("_first"), "left")
+    pairs = rows.where(carries | (F.size(F.array_except("_entry_stems", "_stems")) == 0))
+    found = pairs.select("*", text.once_if(F.when(~carries, pattern.match(F.col("_toks"), F.col("_plan"))), lambda p: p.isNotNull() | carries).alias("_path"))
+    gate = pattern.phrasal_arc_ok(F.col("_path"), F.col("_heads"), F.col("_rels"), F.col("_upos"))
+    kept = found.where(carries | ~F.col("_phrasal") | gate)
+    cell = F.struct(*match_cells())
+    parts = kept.select(*[F.when(carries, F.col(c)).alias(c) for c in own], F.when(~carries, cell).alias("_match"))
+    kind = T.StructType([parts.schema[c] for c in own]).add("_matches", T.ArrayType(parts.schema["_match"].dataType))
+    lists = parts.mapInArrow(_gathered, kind)
+    names = [n for n in parts.schema["_match"].dataType.names if n != "entry_idx"]
+    mwes = F.transform(F.array_sort(keep_strongest(F.col("_matches"))), lambda m: F.struct(*[m[n].alias(n) for n in names]))
+    return lists.select(*own, mwes.alias("mwes"))
+
+
+def results(sentences: DataFrame, entries: DataFrame, key: str = "sent_id", most_bytes: int | None = None) -> DataFrame:
+    """(key, tokens, ..., mwes): every sentence with its matches in entry order, empty where there are none.
+
+    Sentences are read once where the lexicon can be broadcast, and checkpointed where it is too large.
+    """
+    if fits_broadcast(planned(entries), most_bytes):
+        return _results_in_place(sentences, planned(entries), key)
+    sentences = cut_lineage(sentences)
+    found = detect(sentences, entries, key, most_bytes)
     cells = [c for c in found.columns if c not in (key, "entry_idx")]
     lists = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("entry_idx", F.struct(*cells).alias("m")))).alias("_l"))
     joined = sentences.join(lists.select(key, F.transform("_l", lambda x: x["m"]).alias("mwes")), key, "left")

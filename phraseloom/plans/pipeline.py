@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from phraseloom.operators import annotate, mwe
-from phraseloom.plans.lineage import cut_lineage
+from phraseloom.plans.lineage import scratch_path
 from phraseloom.sources.vocab import Vocab
 
 
@@ -14,16 +14,16 @@ def parse(sentences: DataFrame, scorer, vocab: Vocab, entries: DataFrame, key: s
     """(key, tokens, mwes, error) of (key, sentence): tokenize, score, decode, detect.
 
     Blank sentences have empty results.  A sentence whose scoring fails has
-    empty results and the error's message.  The tokens are checkpointed, so
-    the model sees each sentence once.
+    empty results and the error's message.  What is read off the scores is
+    written to the shared folder, so the model sees each sentence once; the
+    scores themselves never leave the worker.
     """
     words = annotate.words_of(sentences.select(key, "sentence")).select(key, "words")
-    kind = words.schema[key].dataType.simpleString()
-    scored = annotate.score(words, scorer, f"{key} {kind}")
-    safe = scored.withColumn("words", F.when(F.col("error").isNull(), F.col("words")).otherwise(F.array().cast("array<string>")))
-    tokens = cut_lineage(annotate.decode_scores(safe, vocab.rels, vocab.upos, vocab.feats).select(key, "tokens", "error"))
-    found = mwe.results(tokens.select(key, "tokens"), entries, key)
-    return found.join(tokens.select(key, "error"), key)
+    scored = annotate.annotated(words, scorer, f"{key} {words.schema[key].dataType.simpleString()}", vocab.rels, vocab.upos, vocab.feats)
+    path = scratch_path(sentences.sparkSession)
+    scored.write.option("compression", "zstd").parquet(path)
+    tokens = annotate.tokens_of(sentences.sparkSession.read.schema(scored.schema).parquet(path))
+    return mwe.results(tokens, entries, key).select(key, "tokens", "mwes", "error")
 
 
 def as_answers(results: DataFrame, key: str, index: str) -> DataFrame:

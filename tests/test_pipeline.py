@@ -7,9 +7,10 @@ import json
 import numpy as np
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
-from test_mwe import _lexicon
+from test_mwe import SENTENCES, _lexicon, _sentence
 
 from phraseloom.functions import feats
+from phraseloom.operators import annotate, mwe
 from phraseloom.plans import pipeline
 from phraseloom.sources import vocab
 from phraseloom.streaming import events
@@ -105,3 +106,71 @@ def test_feats(spark):
     df = spark.createDataFrame([(k,) for k in cases], "f string")
     assert {r.f: r.p for r in df.select("f", feats.problem(F.col("f")).alias("p")).collect()} == cases
     assert df.where("f like 'Mood=Ind%'").select(feats.as_map(F.col("f")).alias("m")).first().m == {"Mood": "Ind", "Number": "Plur"}
+
+
+def _sparing_scorer():
+    """A scorer of many sentences that takes no more of them than fit the bound on cells."""
+
+    class Sparing:
+        def many(self, sentences):
+            if sum((len(words) + 1) ** 2 for words in sentences) > 1 << 17:
+                raise MemoryError("too many scores at once")
+            return [{"s_pos": np.ones((1, len(words) + 1, 1))} for words in sentences]
+
+        def __call__(self, words):
+            raise MemoryError("one by one")
+
+    return Sparing()
+
+
+def test_scores_of_few_sentences_are_held_at_once(spark):
+    sentences = spark.range(3000).select(F.col("id").alias("sent_id"), F.lit("one two three four five six seven eight").alias("sentence")).coalesce(1)
+    rows = pipeline.parse(sentences, _sparing_scorer(), vocab.Vocab(["dep"], ["NOUN"]), _lexicon(spark))
+    assert rows.agg(F.count("*"), F.count("error"), F.sum(F.size("tokens"))).first() == (3000, 0, 24000)
+    words = sentences.select("sent_id", F.split("sentence", " ").alias("words"))
+    assert annotate.score(words, _sparing_scorer(), "sent_id bigint").agg(F.count("*"), F.count("error")).first() == (3000, 0)
+
+
+def _random_scorer():
+    """Scores drawn by the words, with ties, cycles and no numbers; some sentences lack tensors or rows of them."""
+
+    def scorer(words):
+        n, rng = len(words) + 1, np.random.default_rng(len("".join(words)) * 97 + len(words))
+        if words[0] == "boom":
+            raise RuntimeError("too loud")
+        found = {"s_arc": rng.integers(0, 4, (1, n, n)), "s_rel": rng.integers(0, 3, (1, n, n, 3)) / 2, "s_pos": rng.integers(0, 2, (1, n, 4)) / 3, "s_feats": rng.integers(0, 3, (1, n, 2, 3)) / 4}
+        found["s_pos"][0, -1, 0] = np.nan
+        if words[0] == "less":
+            found = {"s_arc": found["s_arc"], "s_pos": found["s_pos"][:, :-1]}
+        return found
+
+    return scorer
+
+
+def test_annotated_is_score_and_decode(spark):
+    rng = np.random.default_rng(5)
+    texts = [[("boom", "less", "a", "bb", "ccc")[k] for k in rng.integers(0, 5, n)] for n in rng.integers(0, 9, 300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(300, None)], "k int, words array<string>")
+    labels = (["dep", "root"], ["A", "B", "C"], [("Case", ["_", "Nom"]), ("Number", ["_", "Sing", "Plur"]), ("Mood", ["_", "Ind"])])
+    one = annotate.tokens_of(annotate.annotated(df, _random_scorer(), "k int", *labels))
+    scored = annotate.score(df, _random_scorer(), "k int")
+    empty = F.array().cast("array<string>")
+    two = annotate.decode_scores(scored.withColumn("words", F.when(scored["error"].isNull(), scored["words"]).otherwise(empty)), *labels).select("k", "error", F.coalesce("tokens", F.array().cast(one.schema["tokens"].dataType)).alias("tokens"))
+    assert sorted(one.select("k", "error", "tokens").collect()) == sorted(two.collect(), key=lambda r: r.k)
+
+
+def test_results_in_place(spark):
+    """Matches stay with their sentence wherever batches fall, and are those of the joins."""
+    tokens = [t for k in range(4) for j, s in enumerate(SENTENCES) for t in _sentence(10 * k + j, s)]
+    rows = mwe.sentences_of(spark.createDataFrame(tokens, "sent_id bigint, id int, word string, lemma string, head int, rel string, upos string, feats string"))
+    entries = _lexicon(spark)
+    twin = entries.withColumns({"entry_idx": F.col("entry_idx") + 100, "id": F.col("id") + 100})
+    both = entries.unionByName(twin).unionByName(entries.where("id = 7").withColumn("entry_idx", F.lit(300).cast("bigint")))
+    joined = sorted(mwe.results(rows, both, most_bytes=0).collect())
+    assert sum(len(r.mwes) for r in joined) > 20
+    for size in ("1", "2", "3", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            assert sorted(mwe.results(rows, both).collect()) == joined
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
