@@ -7,46 +7,61 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-STATE = "next_index int, total int, ended boolean, waiting string, results string"
+#: Groups into which requests fall by hash: a call of Python and a state is for a group, as one for each request costs more than its events.
+GROUPS = 256
+STATE = "requests string"
 
 
-def _events(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, keep_ms: int | None) -> Iterator[pd.DataFrame]:
-    """Events that the answers so far allow: in sentence order, none twice."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    at, total, ended, waiting, results = state.get if state.exists else (0, None, False, "{}", "[]")
-    held, answers, out = json.loads(waiting), json.loads(results), []
+def _take(mine: list, index: float | None, total: int, result: str | None, error: str | None) -> Iterator[tuple[int, str, str]]:
+    """(seq, event, data) that one more answer allows; ``mine`` is [next index, waiting answers, results], None and empty once ended."""
+    at, held, answers = mine
+    if index is not None and index >= at:
+        held.setdefault(str(int(index)), [result, error])
+    while str(at) in held:
+        result, error = held.pop(str(at))
+        if error is not None:
+            yield at * 2, "error", f"sentence {at}: {error}"
+            mine[:] = None, {}, []
+            return
+        answers.append(result)
+        yield at * 2, "result", f'{{"index":{at},"result":{result}}}'
+        at += 1
+        yield at * 2 - 1, "progress", f'{{"done":{at},"total":{total},"percent":{at * 100 // total}}}'
+    mine[0] = at
+    if at >= total:
+        yield at * 2, "done", '{"results":[' + ",".join(answers) + "]}"
+        mine[:] = None, {}, []  # an ended request stays known for a while, so what is delivered twice is told once
 
-    def emit(event: str, data: str) -> None:
-        out.append((key[0], len(answers) * 2 - (event == "result") * 2 - (event == "progress"), event, data))
 
-    if not ended:
+def _events(frames: Iterator[pd.DataFrame], state: GroupState, keep_ms: int | None) -> Iterator[pd.DataFrame]:
+    """Events that the answers so far allow: of each request in sentence order, none twice."""
+    requests = json.loads(state.get[0]) if state.exists else {}
+    now = 0 if keep_ms is None else state.getCurrentProcessingTimeMs()
+    if not state.hasTimedOut:
         for frame in frames:
-            for index, size, result, error in zip(frame["sent_index"], frame["total"], frame["result"], frame["error"]):
-                total = int(size)
-                if pd.notna(index) and int(index) >= at:
-                    held.setdefault(str(int(index)), [None if pd.isna(result) else result, None if pd.isna(error) else error])
-        while not ended and str(at) in held:
-            result, error = held.pop(str(at))
-            if error is not None:
-                emit("error", f"sentence {at}: {error}")
-                ended = True
-                break
-            answers.append(result)
-            emit("result", f'{{"index":{at},"result":{result}}}')
-            at += 1
-            emit("progress", f'{{"done":{at},"total":{total},"percent":{at * 100 // total}}}')
-        if not ended and total is not None and at >= total:
-            emit("done", '{"results":[' + ",".join(answers) + "]}")
-            ended = True
-    # an ended request stays known for a while, so what is delivered twice is told once
-    state.update((at, total, True, "{}", "[]") if ended else (at, total, False, json.dumps(held), json.dumps(answers)))
+            out = []
+            for name, index, total, result, error in zip(*[frame[c].tolist() for c in ("_name", "sent_index", "total", "result", "error")]):
+                mine = requests.setdefault(name, [0, {}, [], now])
+                mine[3] = now
+                if mine[0] is None:
+                    continue
+                three = mine[:3]
+                known = index if index is not None and index == index else None
+                out += [(name, *e) for e in _take(three, known, int(total), *[x if isinstance(x, str) else None for x in (result, error)])]
+                mine[:3] = three
+            yield pd.DataFrame(out, columns=["request", "seq", "event", "data"])
+    if keep_ms is not None:
+        requests = {name: mine for name, mine in requests.items() if mine[3] + keep_ms > now}
+    if not requests:
+        if state.exists:
+            state.remove()
+        return
+    state.update((json.dumps(requests),))
     if keep_ms is not None:
-        state.setTimeoutDuration(keep_ms)
-    yield pd.DataFrame(out, columns=["request", "seq", "event", "data"])
+        state.setTimeoutDuration(min(mine[3] for mine in requests.values()) + keep_ms - now)
 
 
 def ordered_events(answers: DataFrame, key: str, keep_seconds: int | None = 3600) -> DataFrame:
@@ -58,13 +73,15 @@ def ordered_events(answers: DataFrame, key: str, keep_seconds: int | None = 3600
     is one row with a null ``sent_index`` and a ``total`` of 0: only ``done``.
     Sentences answered twice count once.  The state of a request is what waits
     for earlier sentences and the results that ``done`` repeats; it goes
-    ``keep_seconds`` after its last answer.  Timers keep a query going, so one
-    that is to end with its input (``availableNow``) takes None: states stay.
-    Appends only, so any sink takes it.
+    ``keep_seconds`` after its last answer.  Requests are grouped by hash, and
+    a group keeps the states of its requests together.  Timers keep a query
+    going, so one that is to end with its input (``availableNow``) takes None:
+    states stay.  Appends only, so any sink takes it.
     """
     kind = answers.schema[key].dataType.simpleString()
-    rows = answers.select(key, "sent_index", "total", "result", "error")
+    name = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")).alias("_name")
+    rows = answers.select(F.pmod(F.xxhash64(key), F.lit(GROUPS)).cast("int").alias("_group"), name, "sent_index", "total", "result", "error")
     keep_ms = None if keep_seconds is None else keep_seconds * 1000
     timeout = GroupStateTimeout.NoTimeout if keep_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    stated = rows.groupBy(key).applyInPandasWithState(lambda k, frames, state: _events(k, frames, state, keep_ms), f"request {kind}, seq int, event string, data string", STATE, "append", timeout)
-    return stated.withColumnRenamed("request", key)
+    stated = rows.groupBy("_group").applyInPandasWithState(lambda k, frames, state: _events(frames, state, keep_ms), "request string, seq int, event string, data string", STATE, "append", timeout)
+    return stated.select(F.when(F.col("request") != "", F.substring("request", 2, (1 << 31) - 1)).cast(kind).alias(key), "seq", "event", "data")

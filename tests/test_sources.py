@@ -368,3 +368,56 @@ def test_checkpoint_folder_is_the_sessions(spark):
 
     df = cut_lineage(spark.range(10).withColumn("x", F.col("id") * 2))
     assert df.count() == 10 and "Range" not in df._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0]
+
+
+def test_states_are_kept_by_group(spark, tmp_path, monkeypatch):
+    """Thousands of requests take a call of Python and a state for each group, not for each request; keys stay exact, null included."""
+    from phraseloom.streaming import ordered
+
+    monkeypatch.setattr(ordered, "GROUPS", 8, raising=False)
+    n, large = 2000, (1 << 60) + 1
+    rows = spark.range(n).select(F.when(F.col("id") > 0, F.col("id") + large).alias("req"), F.posexplode(F.array(F.lit("1"), F.lit("2"))).alias("sent_index", "result"))
+    rows = rows.select("req", "sent_index", F.lit(2).alias("total"), "result", F.lit(None).cast("string").alias("error"))
+    for part in (rows.where("sent_index = 1"), rows):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = ordered.ordered_events(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), "req", keep_seconds=None)
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        assert query.awaitTermination(90)
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 8
+    found = spark.read.parquet(str(tmp_path / "out"))
+    assert found.count() == 5 * n and found.distinct().count() == 5 * n
+    assert found.agg(F.max("req"), F.countDistinct("req"), F.count_if(F.col("req").isNull())).first() == (large + n - 1, n - 1, 5)
+
+
+def test_requests_of_a_group_go_one_by_one():
+    """A request's state goes a while after its own last answer, whatever else its group gets."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from phraseloom.streaming import ordered
+
+    class State(SimpleNamespace):
+        def update(self, new):
+            self.get, self.exists = new, True
+
+        def remove(self):
+            self.exists = False
+
+        def getCurrentProcessingTimeMs(self):
+            return self.now
+
+        def setTimeoutDuration(self, ms):
+            self.wait = ms
+
+    def frame(*rows):
+        return iter([pd.DataFrame(rows, columns=["_name", "sent_index", "total", "result", "error"])])
+
+    state = State(exists=False, hasTimedOut=False, now=1000)
+    assert len(pd.concat(ordered._events(frame(("=a", 0, 1, "1", None), ("=b", 1, 2, "1", None)), state, 100))) == 3
+    state.now = 1060
+    assert len(pd.concat(ordered._events(frame(("=b", 1, 2, "1", None), ("=a", 0, 1, "1", None), ("=c", 0, 2, "1", None)), state, 100))) == 2
+    state.now, state.hasTimedOut = 1150, True
+    assert state.wait == 100 and not list(ordered._events(iter([]), state, 100)) and set(json.loads(state.get[0])) == {"=a", "=b", "=c"} and state.wait == 10
+    state.now = 1160
+    assert not list(ordered._events(iter([]), state, 100)) and not state.exists
